@@ -42,33 +42,40 @@ def bucket_count_column(n_p, n_q):
 
 def histogram(df, bucket="bucket", side="side", by=(), buckets=None):
     """Share of each side per bucket. With ``buckets`` = K every bucket 0 … K−1 has a row.
-    Rows are counted per bucket first, so a bucket with a third of all rows is one sum."""
+    Rows are counted per bucket first, so a bucket with a third of all rows is one sum. A
+    group with an empty side has null shares, and so null metrics."""
     by = list(by)
     counts = df.groupBy(*by, F.col(bucket).cast("int").alias("bucket")).agg(
         F.count(F.when(F.col(side) == "p", 1)).alias("_p"), F.count(F.when(F.col(side) == "q", 1)).alias("_q"))
     totals = _grouped(counts, by).agg(F.sum("_p").alias("_tp"), F.sum("_q").alias("_tq"))
-    shares = counts.join(totals, by) if by else counts.crossJoin(F.broadcast(totals))
-    shares = shares.select(*by, "bucket", (F.col("_p") / F.col("_tp")).alias("p"), (F.col("_q") / F.col("_tq")).alias("q"))
-    if buckets is None:
-        return shares
-    if by:
-        spine = totals.select(*by, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
-    else:
-        spine = df.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    return spine.join(shares, by + ["bucket"], "left").na.fill(0.0, ["p", "q"])
+    if buckets is not None:
+        if by:
+            spine = totals.select(*by, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
+        else:
+            spine = df.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
+        counts = spine.join(counts, by + ["bucket"], "left").na.fill(0, ["_p", "_q"])
+    # Without groups the totals are one row.
+    counts = counts.join(totals, by) if by else counts.crossJoin(F.broadcast(totals))
+    return counts.select(
+        *by, "bucket", F.try_divide("_p", "_tp").alias("p"), F.try_divide("_q", "_tq").alias("q"))
 
 
 def _kl_term(p, q):
-    return F.when(p > 0, F.when(q > 0, p * F.log(p / q)).otherwise(F.lit(math.inf))).otherwise(F.lit(0.0))
+    return (
+        F.when(p.isNull() | q.isNull(), F.lit(None).cast("double")).when(p == 0, F.lit(0.0))
+        .when(q > 0, p * F.log(p / q)).otherwise(F.lit(math.inf))
+    )
+
+
+def _not_negative(v):
+    return F.when(v < 0, F.lit(0.0)).otherwise(v)
 
 
 def kl_divergence(hist, by=()):
     """KL(p‖q) and KL(q‖p); infinite where one side has a bucket the other lacks."""
     p, q = F.col("p"), F.col("q")
     return _grouped(hist, by).agg(
-        F.greatest(F.lit(0.0), F.sum(_kl_term(p, q))).alias("kl_pq"),
-        F.greatest(F.lit(0.0), F.sum(_kl_term(q, p))).alias("kl_qp"))
-
+        _not_negative(F.sum(_kl_term(p, q))).alias("kl_pq"), _not_negative(F.sum(_kl_term(q, p))).alias("kl_qp"))
 
 
 def mixture_weights(points=CURVE_POINTS):
@@ -90,7 +97,7 @@ def divergence_curve(hist, by=(), scale=MAUVE_SCALE, points=CURVE_POINTS):
     totals = _grouped(hist, by).agg(*sums)
 
     def point(name, i):
-        return F.exp(F.lit(-scale) * F.greatest(F.lit(0.0), F.col(f"{name}{i}")))
+        return F.exp(F.lit(-scale) * _not_negative(F.col(f"{name}{i}")))
 
     rows = [F.struct(F.lit(0).alias("i"), F.lit(1.0).alias("x"), F.lit(0.0).alias("y"))]
     rows += [F.struct(F.lit(i).alias("i"), point("_x", i).alias("x"), point("_y", i).alias("y")) for i in range(1, points + 1)]
@@ -122,7 +129,7 @@ def frontier_integral(hist, by=(), scale=FRONTIER_SCALE):
     p, q = F.col("p"), F.col("q")
     apart = 0.25 * (p + q) - 0.5 * (p * q * (F.log(p) - F.log(q)) / (p - q))
     term = (
-        F.when((p == 0) & (q == 0), 0.0).when(p == 0, q / 4).when(q == 0, p / 4)
+        F.when(p.isNull() | q.isNull(), F.lit(None).cast("double")).when((p == 0) & (q == 0), 0.0).when(p == 0, q / 4).when(q == 0, p / 4)
         .when(F.abs(p - q) > NEAR_EQUAL, apart).otherwise(0.0)
     )
     return _grouped(hist, by).agg((F.sum(term) * F.lit(scale)).alias("frontier_integral"))
@@ -140,15 +147,15 @@ def pr_curve(hist, by=(), angles=ANGLES):
     turn = F.when(F.col("p") > 0, F.ceil(F.atan(F.col("q") / F.col("p")) * F.lit(2 * angles / math.pi))).otherwise(F.lit(angles))
     turned = hist.withColumn("theta", F.greatest(F.lit(1), F.least(F.lit(angles), turn)).cast("int")).groupBy(
         *by, "theta").agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"))
-    base = _grouped(hist, by).agg(F.count("*").alias("_n"))
-    spine = base.select(*by, F.explode(F.sequence(F.lit(1), F.lit(angles))).alias("theta"))
+    base = _grouped(hist, by).agg((F.count("*") == F.count(F.col("p") + F.col("q"))).alias("_known"))
+    spine = base.select(*by, "_known", F.explode(F.sequence(F.lit(1), F.lit(angles))).alias("theta"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     upto = group.orderBy("theta").rowsBetween(Window.unboundedPreceding, 0)
     after = group.orderBy("theta").rowsBetween(1, Window.unboundedFollowing)
     slope = F.tan(F.col("theta") * F.lit(math.pi / 2 / angles))
     sums = spine.join(turned, by + ["theta"], "left").na.fill(0.0, ["_p", "_q"]).select(
-        *by, "theta", F.sum("_q").over(upto).alias("_flat"), F.coalesce(F.sum("_p").over(after), F.lit(0.0)).alias("_steep"))
-    clip = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+        *by, "theta", "_known", F.sum("_q").over(upto).alias("_flat"), F.coalesce(F.sum("_p").over(after), F.lit(0.0)).alias("_steep"))
+    clip = lambda v: F.when(F.col("_known"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), v)))
     return sums.where(F.col("theta") < angles).select(
         *by, "theta",
         clip(slope * F.col("_steep") + F.col("_flat")).alias("alpha"),
@@ -160,7 +167,7 @@ def f_beta(precision, recall, beta=1.0, epsilon=F_BETA_EPSILON):
     if beta <= 0:
         raise ValueError(f"beta must be positive, got {beta!r}")
     score = (1 + beta**2) * (precision * recall) / (beta**2 * precision + recall + epsilon)
-    valid = precision.between(0, 1) & recall.between(0, 1)
+    valid = (precision.between(0, 1) & recall.between(0, 1)) | precision.isNull() | recall.isNull()
     return F.when(valid, score).otherwise(F.raise_error(F.lit("precision and recall must be in [0, 1]")).cast("double"))
 
 

@@ -1,11 +1,17 @@
 """Joins that hold under skew, and the joins the evaluation loops stand for."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
 
+def with_field(df, name, kind):
+    """Schema of ``df`` with one more column."""
+    return T.StructType(df.schema.fields + [T.StructField(name, kind)])
+
+
 def small_enough(df, limit=BROADCAST_BYTES):
     """Measure the text form of a table, stopping at the limit: a proven size bound."""
     width = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(4)) for c in df.columns), F.lit(16))
@@ -21,7 +27,7 @@ def lookup_join(facts, table, keys, spread, how="inner", limit=BROADCAST_BYTES,
     if small_enough(table, limit):
         return facts.join(F.broadcast(table), keys, how)
     sliced = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return sliced.join(copies, keys + ["_salt"], how).drop("_salt")
 
 

@@ -7,10 +7,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textdist.functions.text import words
 from textdist.functions.vectors import normalized
-from textdist.operators.joins import stack_sides
+from textdist.operators.joins import stack_sides, with_field
 from textdist.operators.sampling import hash_sample
 
 EXPLAINED_VARIANCE = 0.9
@@ -45,8 +46,7 @@ def featurize(df, col, fn, batch_size=FEATURE_BATCH):
                 yield pa.RecordBatch.from_arrays(
                     part.columns + [pa.array(list(vectors), pa.list_(pa.float64()))], part.schema.names + ["x"])
 
-    schema = df.schema.add("x", "array<double>")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, with_field(df, "x", T.ArrayType(T.DoubleType())))
 
 
 def hashed_features(df, token_col, dim=256, idf=False):

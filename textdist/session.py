@@ -1,6 +1,7 @@
 """Session for local runs (tests, bench). On a cluster the caller brings its own."""
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -21,17 +22,28 @@ def local_session(cpus=None, app="textdist"):
     return spark
 
 
-def cut_lineage(df):
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
+def shared_folder(spark):
+    """The folder the cluster names in ``spark.checkpoint.dir``. A local session without the
+    setting gets a temporary one."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            import tempfile
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if shared is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        import tempfile
 
-            shared = tempfile.mkdtemp(prefix="textdist-ckpt-")
+        shared = tempfile.mkdtemp(prefix="textdist-")
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared)
+    return shared
+
+
+def scratch_path(spark, name):
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df):
+    """Reliable checkpoint in the shared folder, so a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

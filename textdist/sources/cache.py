@@ -3,7 +3,6 @@
 import hashlib
 import json
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 METRIC_SCHEMA = "run_id string, step int, name string, value double, note string"
@@ -16,13 +15,11 @@ def parameter_key(params):
 
 
 def _stored(spark, path):
-    """The table at ``path`` if a finished write is there. Spark leaves ``_SUCCESS`` last."""
-    try:
-        if spark.read.format("binaryFile").load(f"{path}/_SUCCESS").select("path").limit(1).count():
-            return spark.read.parquet(path)
-    except AnalysisException:
-        pass
-    return None
+    """The table at ``path`` if a finished write is there: Spark leaves ``_SUCCESS`` last."""
+    sc = spark.sparkContext
+    mark = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    done = mark.getFileSystem(sc._jsc.hadoopConfiguration()).exists(mark)
+    return spark.read.parquet(path) if done else None
 
 
 def materialize(build, spark, root, params, recompute=False):

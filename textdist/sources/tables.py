@@ -18,7 +18,7 @@ def read_jsonl(spark, folder, name, split=None, limit=None):
     paths = [f"{folder}/{name}.jsonl" if s is None else f"{folder}/{name}.{s}.jsonl" for s in parts]
     df = spark.read.schema(TEXT_SCHEMA).json(paths)
     if split is not None:
-        df = df.withColumn("split", F.regexp_extract(F.input_file_name(), r"\.([^./]+)\.jsonl$", 1))
+        df = df.withColumn("split", F.regexp_extract(F.input_file_name(), r"\.([^./]+)\.jsonl(?:/|$)", 1))
     return df if limit is None else df.limit(limit)
 
 
