@@ -114,7 +114,7 @@ def evaluate_pairs(generations_of, model_a, seed_a, model_b, key, featurize, roo
 
 def evaluate_diversity(generations, key, run="run_id", text="formatted_text", root=None, params=None, recompute=False, **options):
     """Diversity of every run in one job, keyed by the run column."""
-    build = lambda: diversity(generations.withColumn("_t", F.split(text, " ", -1)), key, "_t", by=[run] if run else [], sep=" ", **options)
+    build = lambda: diversity(generations, key, text, by=[run] if run else [], **options)
     if root is None:
         return build()
     return materialize(build, generations.sparkSession, root, params or {}, recompute)

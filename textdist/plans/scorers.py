@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from textdist.operators import cluster, histogram, manifold
 from textdist.operators.blocks import BLOCK_ROWS
 from textdist.operators.joins import stack_sides
-from textdist.operators.ngrams import DISTINCT_ORDERS, distinct_n
+from textdist.operators.ngrams import DISTINCT_ORDERS, ratio_of, with_all_orders
 from textdist.operators.sampling import equal_length
-from textdist.operators.self_bleu import self_bleu
+from textdist.operators.self_bleu import gram_summary, self_bleu
 from textdist.operators.vectors import EXPLAINED_VARIANCE, reduce_pca
 from textdist.session import cut_lineage
 
@@ -86,13 +86,17 @@ def merge_metrics(tables):
     return reduce(lambda a, b: a.unionByName(b), tables)
 
 
-def diversity(df, key, tokens, orders=DISTINCT_ORDERS, bleu_orders=BLEU_ORDERS, ratio=BLEU_RATIO,
-              seed=BLEU_SEED, by=(), sep=None):
-    """Distinct-n, Self-BLEU and the number of sampled texts, per group, as long rows."""
+def diversity(df, key, tokens, orders=DISTINCT_ORDERS, bleu_orders=BLEU_ORDERS, ratio=BLEU_RATIO, seed=BLEU_SEED, by=()):
+    """Distinct-n, Self-BLEU and the number of sampled texts, per group, as long rows. Both
+    metrics read one summary of the n-grams, so texts are expanded once."""
     by = list(by)
-    distinct = distinct_n(df, tokens, orders, by, sep).select(
+    expanded = sorted(set(orders) | set(range(1, max(bleu_orders) + 1)))
+    # At most one row per text and order.
+    summary = cut_lineage(gram_summary(df, key, tokens, expanded, by))
+    counted = summary.where(F.col("n").isin(*orders)).groupBy(*by, "n").agg(F.sum("uniq").alias("uniq"), F.sum("total").alias("total"))
+    distinct = ratio_of(with_all_orders(df, counted, orders, by)).select(
         *by, F.concat(F.lit("distinct-"), F.col("n")).alias("name"), F.col("distinct_n").cast("double").alias("value"))
-    bleus = self_bleu(df, key, tokens, bleu_orders, ratio, seed, by, sep)
+    bleus = self_bleu(df, key, tokens, bleu_orders, ratio, seed, by, summary)
     rows = bleus.select(*by, F.explode(F.array(
         F.struct(F.concat(F.lit("bleu-"), F.col("n")).alias("name"), F.col("bleu").alias("value")),
         F.struct(F.lit("n_samples").alias("name"), F.col("n_samples").cast("double").alias("value")))).alias("_r"))

@@ -36,11 +36,6 @@ def vector_sides(spark, folder):
     return v.where("side = 'p'").drop("side"), v.where("side = 'q'").drop("side")
 
 
-def tokens(spark, folder, *keep):
-    """Documents with their words; words hold no space."""
-    return table(spark, folder, "documents").select("doc_id", *keep, F.split("text", " ", -1).alias("tokens"))
-
-
 def titled(spark, folder):
     """Documents as biographies: the first words are the title, the text the content."""
     return table(spark, folder, "documents").select(

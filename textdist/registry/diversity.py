@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from textdist.functions.text import word_count
 from textdist.operators import ngrams, self_bleu as B
 from textdist.plans import evaluate, scorers
-from textdist.registry.base import query, table, tokens
+from textdist.registry.base import query, table
 
 GRAMS = """t AS (SELECT doc_id, source, string_split(text, ' ') AS tk, len(string_split(text, ' ')) AS len FROM documents),
   w AS (SELECT doc_id, source, unnest(tk) AS a, generate_subscripts(tk, 1) AS i FROM t),
@@ -16,13 +17,13 @@ GRAMS = """t AS (SELECT doc_id, source, string_split(text, ' ') AS tk, len(strin
 
 @query("unigram_frequencies", "SELECT token AS gram, count(*) AS freq FROM (SELECT unnest(string_split(text, ' ')) AS token FROM documents) GROUP BY token")
 def unigrams(spark, d):
-    return ngrams.ngram_frequencies(tokens(spark, d), "tokens", [1], sep=" ").select("gram", "freq")
+    return ngrams.ngram_frequencies(table(spark, d, "documents"), "text", [1]).select("gram", "freq")
 
 
 @query("ngram_spectrum", f"""WITH {GRAMS} SELECT CAST(n AS BIGINT) AS n, freq, count(*) AS grams FROM
   (SELECT n, gram, count(*) AS freq FROM g GROUP BY n, gram) GROUP BY n, freq""")
 def spectrum(spark, d):
-    return ngrams.ngram_frequencies(tokens(spark, d), "tokens", sep=" ").groupBy(
+    return ngrams.ngram_frequencies(table(spark, d, "documents"), "text").groupBy(
         F.col("n").cast("bigint").alias("n"), "freq").agg(F.count("*").alias("grams"))
 
 
@@ -32,13 +33,13 @@ DISTINCT = """SELECT {by} CAST(n AS BIGINT) AS n, CAST(count(DISTINCT gram) AS B
 
 @query("distinct_n", f"WITH {GRAMS} " + DISTINCT.format(by=""))
 def distinct(spark, d):
-    out = ngrams.distinct_n(tokens(spark, d), "tokens", sep=" ")
+    out = ngrams.distinct_n(table(spark, d, "documents"), "text")
     return out.select(F.col("n").cast("bigint").alias("n"), "uniq", "total", F.round("distinct_n", 9).alias("distinct_n"))
 
 
 @query("distinct_n_by_source", f"WITH {GRAMS} " + DISTINCT.format(by="source,"))
 def distinct_by_source(spark, d):
-    out = ngrams.distinct_n(tokens(spark, d, "source"), "tokens", by=["source"], sep=" ")
+    out = ngrams.distinct_n(table(spark, d, "documents"), "text", by=["source"])
     return out.select("source", F.col("n").cast("bigint").alias("n"), "uniq", "total", F.round("distinct_n", 9).alias("distinct_n"))
 
 
@@ -66,20 +67,20 @@ def bleu_sql(order):
 
 @query("closest_lengths", f"WITH {ALL} SELECT DISTINCT CAST(len AS BIGINT) AS len, CAST(closest_len AS BIGINT) AS closest_len FROM t JOIN r USING (doc_id)")
 def closest(spark, d):
-    lengths = tokens(spark, d).select("doc_id", F.size("tokens").alias("len"))
+    lengths = table(spark, d, "documents").select("doc_id", word_count(F.col("text")).alias("len"))
     return B.closest_lengths(lengths).select(F.col("len").cast("bigint").alias("len"), F.col("closest_len").cast("bigint").alias("closest_len"))
 
 
 @query("leave_one_out_matches", f"""WITH {ALL} SELECT doc_id, CAST(len AS BIGINT) AS len, CAST(closest_len AS BIGINT) AS closest_len,
   match_1, match_2, match_3, match_4 FROM t JOIN r USING (doc_id) JOIN m USING (doc_id)""")
 def matches(spark, d):
-    out = B.leave_one_out_matches(tokens(spark, d), "doc_id", "tokens", 4, sep=" ")
+    out = B.leave_one_out_matches(table(spark, d, "documents"), "doc_id", "text", 4)
     return out.select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in out.columns[1:]])
 
 
 @query("sentence_bleu", f"WITH {ALL} SELECT doc_id, round({bleu_sql(4)}, 9) AS bleu FROM t JOIN r USING (doc_id) JOIN m USING (doc_id)")
 def sentence(spark, d):
-    return B.sentence_bleu(tokens(spark, d), "doc_id", "tokens", 4, sep=" ").select("doc_id", F.round("bleu", 9).alias("bleu"))
+    return B.sentence_bleu(table(spark, d, "documents"), "doc_id", "text", 4).select("doc_id", F.round("bleu", 9).alias("bleu"))
 
 
 SAMPLED = """s AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER ({part} ORDER BY md5('12345-' || CAST(doc_id AS VARCHAR)), doc_id) AS k,
@@ -90,7 +91,7 @@ ORDERS = " UNION ALL ".join(f"SELECT {n} AS n, {bleu_sql(n)} AS b FROM x" for n
 @query("self_bleu", f"""WITH {ALL}, {SAMPLED.format(part='')}, x AS (SELECT * FROM t JOIN r USING (doc_id) JOIN m USING (doc_id) JOIN s USING (doc_id)),
   b AS ({ORDERS}) SELECT CAST(n AS BIGINT) AS n, round(avg(b), 9) AS bleu, count(*) AS n_samples FROM b GROUP BY n""")
 def self_bleu(spark, d):
-    out = B.self_bleu(tokens(spark, d), "doc_id", "tokens", [1, 2, 3, 4], sep=" ")
+    out = B.self_bleu(table(spark, d, "documents"), "doc_id", "text", [1, 2, 3, 4])
     return out.select(F.col("n").cast("bigint").alias("n"), F.round("bleu", 9).alias("bleu"), "n_samples")
 
 
@@ -103,7 +104,7 @@ SCORED = """, d AS (SELECT {by} n, count(DISTINCT gram) / count(*) AS v FROM g G
 
 @query("diversity_scorer", f"WITH {ALL}, {SAMPLED.format(part='')}" + SCORED.format(by="", bleu=bleu_sql(4), group=""))
 def diversity(spark, d):
-    return scorers.diversity(tokens(spark, d), "doc_id", "tokens", sep=" ").select("name", F.round("value", 9).alias("value"))
+    return scorers.diversity(table(spark, d, "documents"), "doc_id", "text").select("name", F.round("value", 9).alias("value"))
 
 
 @query("diversity_by_run", f"WITH {BY_SOURCE}, {SAMPLED.format(part='PARTITION BY source')}"
