@@ -16,11 +16,17 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from textdist.functions.vectors import row_norm
+
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 1024
 PIVOT_BYTES = 64 << 20
 STRIP_CELLS = 4 << 20
+# Relative error allowed for a squared distance from a matrix product, and for its root,
+# which is far larger for rows that nearly coincide.
 ROUNDING = 1e-9
+ROOT_ROUNDING = 4e-6
+PLANE_ROUNDING = 1e-11
 
 
 def matrix(column):
@@ -30,6 +36,12 @@ def matrix(column):
     return flat.reshape(len(chunk), -1).astype(np.float64, copy=False)
 
 
+def centred(x, y):
+    """Both sides moved to the middle of one: same distances, smaller products."""
+    middle = y.mean(axis=0)
+    return x - middle, y - middle
+
+
 def squared_norms(x):
     return np.einsum("ij,ij->i", x, x)
 
@@ -59,8 +71,10 @@ class Partition:
     """Pivots and, per cell, what the bounds need. At most ``MAX_PIVOTS`` cells, so it is
     small whatever the data. Plain arrays: it travels in task closures."""
 
-    def __init__(self, pivots, block_rows):
+    def __init__(self, pivots, block_rows, largest_norm):
         self.pivots = pivots
+        self.margin = ROOT_ROUNDING * largest_norm
+        self.plane_margin = PLANE_ROUNDING * largest_norm**2
         self.block_rows = block_rows
         self.norms = squared_norms(pivots)
         self.gaps = np.sqrt(product_distances(pivots, pivots, self.norms, self.norms))
@@ -75,42 +89,43 @@ class Partition:
         return d, cell, d[np.arange(len(x)), cell]
 
 
-def make_partition(vectors, block_rows):
+def make_partition(vectors, block_rows, visitors=None):
     """Pivots are distinct rows in hash order, about one per block of data."""
-    n, d = vectors.agg(F.count("*"), F.max(F.size("x"))).first()
+    largest = F.max(row_norm(F.col("x"), "l2"))
+    n, d, norm = vectors.agg(F.count("*"), F.max(F.size("x")), largest).first()
+    if visitors is not None:
+        norm = max(norm, visitors.agg(largest).first()[0] or 0.0)
     wanted = min(MAX_PIVOTS, max(1, PIVOT_BYTES // (8 * max(1, d or 1))), max(1, -(-n // block_rows)))
     rows = vectors.select("x").orderBy(F.xxhash64("vid")).limit(wanted).collect()
     pivots = np.array([r[0] for r in rows], dtype=np.float64)
-    return Partition(pivots, block_rows)
+    return Partition(pivots, block_rows, norm or 0.0)
 
 
 def lower_bounds(part, dist, cell, home_dist, near, far):
-    """Per row and target cell, a distance no member of the cell can undercut."""
-    bound = np.maximum(np.maximum(dist - far[None, :], near[None, :] - dist), 0.0)
+    """Per row and target cell, a distance no member of the cell can undercut, rounding of
+    all distances to pivots included."""
+    shell = np.maximum(np.maximum(dist - far[None, :], near[None, :] - dist), 0.0)
     gap = part.gaps[cell]
     with np.errstate(divide="ignore", invalid="ignore"):
-        plane = (dist**2 - home_dist[:, None] ** 2) / (2.0 * gap)
-    plane = np.where(gap > 0, plane, 0.0)
-    scale = dist + far[None, :] if np.isfinite(far).all() else dist
-    return np.maximum(bound, plane) - ROUNDING * (1.0 + np.where(np.isfinite(scale), scale, 0.0))
+        plane = (dist**2 - home_dist[:, None] ** 2 - part.plane_margin) / (2.0 * gap)
+    return np.maximum(shell, np.where(gap > part.margin, plane, 0.0)) - part.margin
 
 
-def cell_stats(vectors, part, weight):
-    """Per cell: rows, and the least and greatest distance to the pivot, of rows with weight."""
+def place(vectors, part, weight):
+    """Rows with weight as ``(cell, pd, w)``: nearest pivot and distance to it."""
 
-    def place(batches):
+    def run(batches):
         for b in batches:
-            x = matrix(b.column("x"))
-            _, cell, home = part.home(x)
+            _, cell, home = part.home(matrix(b.column("x")))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cell.astype(np.int32)), pa.array(home), b.column("w")], ["cell", "pd", "w"])
 
-    placed = vectors.where(F.col(weight) > 0).select("x", F.col(weight).alias("w")).mapInArrow(
-        place, "cell int, pd double, w bigint")
-    return placed
+    return vectors.where(F.col(weight) > 0).select("x", F.col(weight).alias("w")).mapInArrow(
+        run, "cell int, pd double, w bigint")
 
 
 def collect_stats(placed, cells):
+    """Counts and distance ranges per cell: at most ``MAX_PIVOTS`` rows."""
     rows = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("pd").alias("near"), F.max("pd").alias("far")).collect()
     count = np.zeros(cells, dtype=np.int64)
     near, far = np.full(cells, np.inf), np.full(cells, -np.inf)
@@ -136,8 +151,9 @@ def neighbour_bounds(placed, part, far, k):
     return bound
 
 
-def block_hash(vid):
-    return F.xxhash64("vid", F.lit("block")) if vid is None else F.xxhash64(vid, F.lit("block"))
+def block_hash(key="vid"):
+    """Place of a row among the blocks of its cell."""
+    return F.pmod(F.xxhash64(key, F.lit("block")), F.lit(1 << 30))
 
 
 def route(rows, part, targets, columns, home_blocks, visit_blocks):
