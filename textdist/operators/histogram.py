@@ -6,6 +6,7 @@ partial sums per group, never from bucket × angle rows.
 """
 
 import math
+from functools import reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -54,10 +55,12 @@ def histogram(df, bucket="bucket", side="side", by=(), buckets=None):
         else:
             spine = df.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
         counts = spine.join(counts, by + ["bucket"], "left").na.fill(0, ["_p", "_q"])
-    # Without groups the totals are one row.
-    counts = counts.join(totals, by) if by else counts.crossJoin(F.broadcast(totals))
+    if by:
+        counts, total_p, total_q = counts.join(totals, by), F.col("_tp"), F.col("_tq")
+    else:
+        total_p, total_q = totals.select("_tp").scalar(), totals.select("_tq").scalar()
     return counts.select(
-        *by, "bucket", F.try_divide("_p", "_tp").alias("p"), F.try_divide("_q", "_tq").alias("q"))
+        *by, "bucket", F.try_divide(F.col("_p"), total_p).alias("p"), F.try_divide(F.col("_q"), total_q).alias("q"))
 
 
 def _kl_term(p, q):
@@ -88,21 +91,17 @@ def divergence_curve(hist, by=(), scale=MAUVE_SCALE, points=CURVE_POINTS):
     """Rows ``(by…, i, x, y)``, i = 0 … points+1. Point i mixes r = w·p + (1−w)·q and is
     exp(−scale·KL(q‖r)), exp(−scale·KL(p‖r)); the ends are (1, 0) and (0, 1)."""
     by = list(by)
-    p, q = F.col("p"), F.col("q")
-    sums = []
-    for i, w in enumerate(mixture_weights(points)):
-        r = F.lit(w) * p + F.lit(1 - w) * q
-        sums += [F.sum(_kl_term(q, r)).alias(f"_x{i + 1}"), F.sum(_kl_term(p, r)).alias(f"_y{i + 1}")]
-    # One pass over the buckets for all weights: 2·points running sums per group.
-    totals = _grouped(hist, by).agg(*sums)
-
-    def point(name, i):
-        return F.exp(F.lit(-scale) * _not_negative(F.col(f"{name}{i}")))
-
-    rows = [F.struct(F.lit(0).alias("i"), F.lit(1.0).alias("x"), F.lit(0.0).alias("y"))]
-    rows += [F.struct(F.lit(i).alias("i"), point("_x", i).alias("x"), point("_y", i).alias("y")) for i in range(1, points + 1)]
-    rows += [F.struct(F.lit(points + 1).alias("i"), F.lit(0.0).alias("x"), F.lit(1.0).alias("y"))]
-    return totals.select(*by, F.explode(F.array(*rows)).alias("_r")).select(*by, "_r.*")
+    p, q, w = F.col("p"), F.col("q"), F.col("_g.w")
+    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in enumerate(mixture_weights(points), start=1)])
+    r = w * p + (1 - w) * q
+    point = lambda kl: F.exp(F.lit(-scale) * _not_negative(F.sum(kl)))
+    # Each task folds its buckets to one row per group and weight before anything moves.
+    inner = hist.withColumn("_g", F.explode(grid)).groupBy(*by, F.col("_g.i").alias("i")).agg(
+        point(_kl_term(q, r)).alias("x"), point(_kl_term(p, r)).alias("y"))
+    ends = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(x).alias("x"), F.lit(y).alias("y")) for i, x, y in ((0, 1.0, 0.0), (points + 1, 0.0, 1.0))]))
+    groups = _grouped(hist, by).agg(F.count("*").alias("_n"))
+    return inner.unionByName(groups.select(*by, ends.alias("_e")).select(*by, "_e.*"))
 
 
 def area_under_curve(curve, x="x", y="y", by=(), order="i"):
@@ -186,7 +185,7 @@ def divergence_metrics(hist, by=(), scale=MAUVE_SCALE, points=CURVE_POINTS):
         frontier_integral(hist, by),
         curve_scores(pr_curve(hist, by), by),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, by) if by else out.crossJoin(part)
-    return out
+    # Stacked and folded to one row per group, so the parts need no join.
+    names = [c for part in parts for c in part.columns if c not in by]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return _grouped(stacked, by).agg(*[F.max(c).alias(c) for c in names])

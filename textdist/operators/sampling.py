@@ -5,6 +5,11 @@ count the buckets, keep the whole ones and rank inside a bucket only, so neither
 the driver nor one task ever holds the sample.
 """
 
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +18,7 @@ from textdist.functions.keys import hash_bucket, hash_index, hash_order
 from textdist.functions.text import MAX_BIO_WORDS, first_words
 
 TOP_N_LIMIT = 100_000
-ONE_BUCKET_ROWS = 500_000
+ONE_BUCKET_ROWS = 4096
 BUCKETS = 1024
 SPLIT_SAMPLE = 8192
 MAX_TITLE_WORDS = 10
@@ -66,18 +71,21 @@ def _splits(df, key, buckets):
     return sorted(set(found))
 
 
-def _range_bucket(df, key, splits):
-    """Number of splits at or below the key. Any splits give a correct order."""
-    import numpy as np
-    import pandas as pd
-
-    edges = np.array(splits, dtype=None if not isinstance(splits[0], str) else object)
+def _with_range(df, key, splits, out="_b"):
+    """Add the number of splits at or below the key. Any ascending splits give a correct order."""
+    if not splits:
+        return df.withColumn(out, F.lit(0))
+    if isinstance(df.schema[key].dataType, T.NumericType):
+        edges = [-math.inf, *sorted({float(v) for v in splits}), math.inf]
+        cut = Bucketizer(splits=edges, inputCol="_d", outputCol=out).transform(df.withColumn("_d", F.col(key).cast("double")))
+        return cut.withColumn(out, F.col(out).cast("int")).drop("_d")
+    edges = np.array(splits, dtype=object)
 
     @F.pandas_udf("int")
-    def bucket(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, keys.to_numpy(), side="right").astype("int32"))
+    def place(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, keys.to_numpy(dtype=object), side="right").astype("int32"))
 
-    return bucket(F.col(key))
+    return df.withColumn(out, place(F.col(key)))
 
 
 def dense_index(df, key, out="idx", bucket_rows=ONE_BUCKET_ROWS):
@@ -88,7 +96,7 @@ def dense_index(df, key, out="idx", bucket_rows=ONE_BUCKET_ROWS):
         return df.withColumn(out, F.row_number().over(Window.orderBy(key)).cast("long") - 1)
     buckets = min(BUCKETS, -(-total // bucket_rows) * 2)
     splits = _splits(df, key, buckets)
-    cut = df.withColumn("_b", _range_bucket(df, key, splits) if splits else F.lit(0))
+    cut = _with_range(df, key, splits)
     counts = {r["_b"]: r["count"] for r in cut.groupBy("_b").count().collect()}
     offset, offsets = 0, []
     for b in range(len(splits) + 1):

@@ -108,8 +108,8 @@ def divergence_curve(spark, d):
 @query("area_under_curve", f"WITH {HIST}, {curve()}, {area()} SELECT round(a, 9) AS y_over_x, round(b, 9) AS x_over_y FROM m")
 def areas(spark, d):
     c = H.divergence_curve(hist(spark, d))
-    return H.area_under_curve(c).select(F.round("area", 9).alias("y_over_x")).crossJoin(
-        H.area_under_curve(c, "y", "x").select(F.round("area", 9).alias("x_over_y")))
+    other = H.area_under_curve(c, "y", "x").select("area").scalar()
+    return H.area_under_curve(c).select(F.round("area", 9).alias("y_over_x"), F.round(other, 9).alias("x_over_y"))
 
 
 @query("mauve", f"WITH {HIST}, {curve()}, {area()} SELECT round((a + b) / 2, 9) AS mauve FROM m")

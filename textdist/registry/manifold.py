@@ -37,6 +37,21 @@ def membership(spark, d):
     return split.select("r.side", "vec_id", "r.held", "r.hit")
 
 
+def prdc_rows_sql(p, q, k=4):
+    """Scorer rows ``name, value`` of two ``(id, x)`` queries, cut to equal length in id order."""
+    return f"""(WITH a AS (SELECT 0 AS q, id, x, row_number() OVER (ORDER BY id) AS r FROM ({p}) UNION ALL
+      SELECT 1, id, x, row_number() OVER (ORDER BY id) FROM ({q})),
+    v AS (SELECT q, id, x FROM a WHERE r <= (SELECT min(m) FROM (SELECT max(r) AS m FROM a GROUP BY q))),
+    n AS (SELECT s.q, s.id, list_distance(s.x, t.x) AS dist, row_number() OVER (PARTITION BY s.q, s.id ORDER BY list_distance(s.x, t.x)) AS r
+      FROM v s JOIN v t ON s.q = t.q AND s.id <> t.id),
+    k AS (SELECT v.q, v.id, v.x, n.dist AS radius FROM v JOIN n ON n.q = v.q AND n.id = v.id AND n.r = {k}),
+    d AS (SELECT p.id AS p, q.id AS q, list_distance(p.x, q.x) AS dist, p.radius AS rp, q.radius AS rq FROM k p JOIN k q ON p.q = 0 AND q.q = 1),
+    byq AS (SELECT q, max(CASE WHEN dist < rp THEN 1 ELSE 0 END) AS inside, sum(CASE WHEN dist < rp THEN 1 ELSE 0 END) AS held FROM d GROUP BY q),
+    byp AS (SELECT p, max(CASE WHEN dist < rq THEN 1 ELSE 0 END) AS recalled, CASE WHEN min(dist) < any_value(rp) THEN 1 ELSE 0 END AS covered FROM d GROUP BY p)
+    SELECT 'prdc.precision' AS name, round(avg(inside), 9) AS value FROM byq UNION ALL SELECT 'prdc.recall', round(avg(recalled), 9) FROM byp
+    UNION ALL SELECT 'prdc.density', round(avg(held) / {k}, 9) FROM byq UNION ALL SELECT 'prdc.coverage', round(avg(covered), 9) FROM byp)"""
+
+
 def rounded(df):
     return df.select(*[F.round(c, 9).alias(c) for c in df.columns])
 
@@ -67,6 +82,17 @@ def by_label(spark, d):
     return rounded(M.prdc(v.where("label < 5"), v.where("label >= 5"), "vec_id", 4))
 
 
+UNIT = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, vec_id % 2 AS q FROM embeddings),
+  v AS (SELECT vec_id, list_transform(x, lambda a: a / sqrt(list_sum(list_transform(x, lambda b: b * b)))) AS x, q FROM e)"""
+
+
+@query("prdc_call_full_rank_pca", UNIT + PAIRS.format(k=4)[len(SIDES):] + PRDC.format(k=4))
+def call_full_rank(spark, d):
+    """PCA that keeps all variance turns the unit vectors and changes no distance."""
+    p, q = vector_sides(spark, d)
+    return rounded(scorers.prdc_call(p, q, "vec_id", k=4, pca=0.9999999999))
+
+
 @query("prdc_call_with_pca")
 def call_pca(spark, d):
     p, q = vector_sides(spark, d)

@@ -20,8 +20,9 @@ def resolve(spark, d):
     return exploded(V.resolve_features(table(spark, d, "embeddings"), feature_col="embedding"), "vec_id")
 
 
-@query("resolve_hashed_text")
+@query("resolve_hashed_text", "SELECT doc_id, CAST(len(string_split(text, ' ')) AS DOUBLE) AS mass FROM documents")
 def resolve_text(spark, d):
+    # Hashed counts of a text add up to its words.
     docs = table(spark, d, "documents").select("doc_id", "text")
     return V.resolve_features(docs, text_col="text", dim=64).select("doc_id", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 6).alias("mass"))
 
