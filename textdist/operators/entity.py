@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from textdist.operators.joins import concat_distinct, first_per_key
+from textdist.operators.joins import concat_distinct, first_per_key, lookup_join
 
 
 def entity_facts(entities, badges, titles, occupations, labels, key, badge):
@@ -13,7 +13,7 @@ def entity_facts(entities, badges, titles, occupations, labels, key, badge):
     many per entity; its language filter is part of the optional side. One row per entity,
     ordered by label.
     """
-    featured = entities.join(badges, badge, "left_semi")
+    featured = lookup_join(entities, badges, [badge], F.col(key), "left_semi")
     english = occupations.where(F.col("lang") == "en") if "lang" in occupations.columns else occupations
     joined = concat_distinct(english, [key], "occupation", "occupations")
     return (
