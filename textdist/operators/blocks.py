@@ -42,6 +42,14 @@ def centred(x, y):
     return x - middle, y - middle
 
 
+def pieces(batches, cells):
+    """Arrow batches cut so that a (rows × cells) array stays small."""
+    step = max(1, STRIP_CELLS // max(1, cells))
+    for batch in batches:
+        for start in range(0, batch.num_rows, step):
+            yield pa.Table.from_batches([batch.slice(start, step)])
+
+
 def squared_norms(x):
     return np.einsum("ij,ij->i", x, x)
 
@@ -115,10 +123,10 @@ def place(vectors, part, weight):
     """Rows with weight as ``(cell, pd, w)``: nearest pivot and distance to it."""
 
     def run(batches):
-        for b in batches:
-            _, cell, home = part.home(matrix(b.column("x")))
+        for t in pieces(batches, len(part.pivots)):
+            _, cell, home = part.home(matrix(t.column("x")))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell.astype(np.int32)), pa.array(home), b.column("w")], ["cell", "pd", "w"])
+                [pa.array(cell.astype(np.int32)), pa.array(home), t.column("w").combine_chunks()], ["cell", "pd", "w"])
 
     return vectors.where(F.col(weight) > 0).select("x", F.col(weight).alias("w")).mapInArrow(
         run, "cell int, pd double, w bigint")
@@ -164,10 +172,7 @@ def route(rows, part, targets, columns, home_blocks, visit_blocks):
     schema = "cell int, hb int, vb int, visit boolean, " + columns
 
     def emit(batches):
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            if not len(t):
-                continue
+        for t in pieces(batches, len(part.pivots)):
             x = matrix(t.column("x"))
             dist, cell, home = part.home(x)
             h = t.column("h").to_numpy()
@@ -208,12 +213,10 @@ def count_visits(rows, part, targets):
 
     def tally(batches):
         total = np.zeros(len(part.pivots), dtype=np.int64)
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            if len(t):
-                dist, cell, home = part.home(matrix(t.column("x")))
-                is_visit = t.column("is_visit").to_numpy(zero_copy_only=False)
-                total += (targets(dist, cell, home, t) & is_visit[:, None]).sum(axis=0)
+        for t in pieces(batches, len(part.pivots)):
+            dist, cell, home = part.home(matrix(t.column("x")))
+            is_visit = t.column("is_visit").to_numpy(zero_copy_only=False)
+            total += (targets(dist, cell, home, t) & is_visit[:, None]).sum(axis=0)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["cell", "n"])
 

@@ -134,6 +134,12 @@ def draw_with_replacement(draws, draw_key, items, item_key, seed, value):
     )
 
 
+def draw_from_values(draws, draw_key, values, seed, out):
+    """One of a short literal list per draw row: an array lookup, no join."""
+    choice = F.array(*[F.lit(v) for v in values])
+    return draws.withColumn(out, F.get(choice, hash_index(seed, F.lit(len(values)), F.col(draw_key)).cast("int")))
+
+
 def in_context_examples(samples, sample_key, bios, bio_key, n_icl, seed,
                         max_title_words=MAX_TITLE_WORDS, max_content_words=MAX_BIO_WORDS):
     """``n_icl`` biographies per sample, drawn with replacement and cut to size, in slot order."""

@@ -54,16 +54,16 @@ def _features(df, key, featurize, root, params, recompute=False):
 
 
 def evaluate_webtext(refs, generations, key, featurize, root, run_id, ref_seeds=REF_SEEDS, max_samples=MAX_SAMPLES,
-                     k_words=10, scorers=None, recompute=False):
+                     k_words=10, unit="chars", scorers=None, recompute=False):
     """Score generations against a fresh reference sample per seed; cached by all parameters."""
     spark = refs.sparkSession
-    q_text = format_continuations(first_n(generations, key, max_samples), k_words)
-    q = _features(q_text, key, featurize, f"{root}/q", {"run": run_id, "n": max_samples, "k": k_words}, recompute)
+    q_text = format_continuations(first_n(generations, key, max_samples), k_words, unit)
+    q = _features(q_text, key, featurize, f"{root}/q", {"run": run_id, "n": max_samples, "k": k_words, "unit": unit}, recompute)
     out = None
     for seed in ref_seeds:
         p_text = format_references(hash_sample(refs, key, seed, n=max_samples))
         p = _features(p_text, key, featurize, f"{root}/ref", {"seed": seed, "n": max_samples}, recompute)
-        params = {"run": run_id, "seed": seed, "n": max_samples, "k": k_words, "scorers": scorers}
+        params = {"run": run_id, "seed": seed, "n": max_samples, "k": k_words, "unit": unit, "scorers": scorers}
         rows = materialize(lambda: score(p, q, key, scorers), spark, f"{root}/metrics", params, recompute)
         rows = rows.select(F.lit(run_id).alias("run_id"), F.lit(seed).alias("ref_seed"), "name", "value")
         out = rows if out is None else out.unionByName(rows)

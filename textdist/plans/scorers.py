@@ -42,11 +42,12 @@ def prdc_scorer(p, q, key, k=RUN_K, pca=True, seed=0, **options):
 
 
 def mauve_call(p, q, key, num_buckets="auto", pca=EXPLAINED_VARIANCE, fit_rows=-1, restarts=cluster.RESTARTS,
-               max_iter=cluster.MAX_ITERATIONS, scale=histogram.MAUVE_SCALE, points=histogram.CURVE_POINTS, seed=25):
+               max_iter=cluster.MAX_ITERATIONS, scale=histogram.MAUVE_SCALE, points=histogram.CURVE_POINTS, seed=25,
+               norm="l2", whiten=False):
     """Cluster both sides together and compare the bucket histograms. Returns
     ``(metrics, artifacts)``: one wide row, and tables hist, divergence_curve and pr_curve."""
     k = histogram.bucket_count(p.count(), q.count(), num_buckets)
-    p, q = reduce_pca(p, q, key, pca, fit_rows=fit_rows, seed=seed)
+    p, q = reduce_pca(p, q, key, pca, norm, whiten, fit_rows, seed)
     stacked = stack_sides(q.select("x"), p.select("x"))
     placed = cluster.kmeans_buckets(stacked, k, restarts=restarts, max_iter=max_iter, seed=seed + 2)
     hist = cut_lineage(histogram.histogram(placed, buckets=k))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from textdist.functions.keys import hash_order
+from textdist.functions.prompts import CREATIVE_PROMPTS
 from textdist.functions.text import has_more_words_than
 from textdist.operators import sampling as S
 from textdist.registry.base import TITLED_SQL, query, table, titled
@@ -69,6 +70,15 @@ def draw(spark, d):
     return S.draw_with_replacement(table(spark, d, "documents").select("doc_id"), "doc_id", items, "item_id", 12357, "prompt")
 
 
+LISTED = "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in CREATIVE_PROMPTS) + "]"
+
+
+@query("creative_prompt_draws", f"""SELECT doc_id, {LISTED}[CAST('0x' || substr({h(12357, 'doc_id')}, 1, 15) AS BIGINT) % {len(CREATIVE_PROMPTS)} + 1] AS prompt
+  FROM documents""")
+def prompt_draws(spark, d):
+    return S.draw_from_values(table(spark, d, "documents").select("doc_id"), "doc_id", CREATIVE_PROMPTS, 12357, "prompt")
+
+
 ICL = f"""WITH b AS (SELECT array_to_string(string_split(title, ' ')[1:10], ' ') AS title,
     array_to_string(string_split(content, ' ')[1:350], ' ') AS content, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM ({TITLED_SQL})),
   s AS (SELECT c.page_id, v.slot, CAST('0x' || substr(md5('12357-' || CAST(c.page_id AS VARCHAR) || '-' || CAST(v.slot AS VARCHAR)), 1, 15) AS BIGINT)
