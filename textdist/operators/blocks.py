@@ -70,6 +70,13 @@ def direct_distances(x, y, i, j):
     return out
 
 
+def marked(mask):
+    """Row and column of each true cell."""
+    flat = np.flatnonzero(mask)
+    row = flat // mask.shape[1]
+    return row, flat - row * mask.shape[1]
+
+
 def strips(n_x, n_y):
     step = max(1, STRIP_CELLS // max(1, n_y))
     return [(s, min(n_x, s + step)) for s in range(0, n_x, step)]

@@ -14,6 +14,9 @@ def local_session(cpus=None, app="textdist"):
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
+        # One task per core: tasks share no core with each other's BLAS threads.
+        .config("spark.executorEnv.OMP_NUM_THREADS", "1")
+        .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
