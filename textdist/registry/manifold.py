@@ -31,10 +31,9 @@ def membership(spark, d):
     p, q = vector_sides(spark, d)
     m = M.ball_membership(p, q, "vec_id", 4)
     rows = F.array(
-        F.when(F.col("wq") > 0, F.struct(F.lit("q").alias("side"), F.col("held").alias("held"), (F.col("held") > 0).cast("bigint").alias("hit"))),
-        F.when(F.col("wp") > 0, F.struct(F.lit("p").alias("side"), F.col("covered").alias("held"), F.col("recalled").alias("hit"))))
-    split = m.select(F.substring_index("vid", ":", -1).cast("bigint").alias("vec_id"), F.explode(rows).alias("r")).where("r is not null")
-    return split.select("r.side", "vec_id", "r.held", "r.hit")
+        F.when(F.col("wq") > 0, F.struct(F.lit("q").alias("side"), F.col("q_id").alias("vec_id"), F.col("held").alias("held"), (F.col("held") > 0).cast("bigint").alias("hit"))),
+        F.when(F.col("wp") > 0, F.struct(F.lit("p").alias("side"), F.col("p_id").alias("vec_id"), F.col("covered").alias("held"), F.col("recalled").alias("hit"))))
+    return m.select(F.explode(rows).alias("r")).where("r is not null").select("r.*")
 
 
 def prdc_rows_sql(p, q, k=4):

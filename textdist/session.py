@@ -36,7 +36,6 @@ def shared_folder(spark):
         import tempfile
 
         shared = tempfile.mkdtemp(prefix="textdist-")
-    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared)
     return shared
 
@@ -47,6 +46,8 @@ def scratch_path(spark, name):
 
 
 def cut_lineage(df):
-    """Reliable checkpoint in the shared folder, so a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows once to the shared folder and read them back: a lost executor costs no
+    recomputation, and later jobs read only the columns they need."""
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
