@@ -1,10 +1,15 @@
 import json
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from textdist.sources import cache, tables
 
+ROOT = Path(__file__).resolve().parents[1]
+
 
 def test_jsonl(spark, tmp_path):
     for name, lines in {"web.jsonl": ["one", "two", "three"], "web.train.jsonl": ["a\nb"], "web.test.jsonl": ["c"]}.items():
@@ -62,3 +67,19 @@ def test_metrics_table(spark, tmp_path):
     assert got == {(0, "a", 1.0), (0, "b", None), (None, "c", 2.0)}
     maps = {r.step: r.metrics for r in cache.metric_maps(cache.read_metrics(spark, path)).collect()}
     assert maps == {0: {"a": 1.0}, None: {"c": 2.0}}
+
+
+def test_lineage_is_cut_in_the_folder_the_session_names(tmp_path):
+    """The setting is fixed at start, so a session of its own is needed."""
+    script = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession, functions as F
+from textdist.session import cut_lineage
+spark = (SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate())
+cut = cut_lineage(spark.range(10).withColumn("v", F.monotonically_increasing_id()))
+assert cut.count() == 10
+print("PATH", cut.inputFiles()[0])
+"""
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=120)
+    assert f"PATH file://{tmp_path}/cut-" in out.stdout, out.stderr[-2000:]

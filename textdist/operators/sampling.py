@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from textdist.functions.keys import hash_bucket, hash_index, hash_order
 from textdist.functions.text import MAX_BIO_WORDS, first_words
 
-TOP_N_LIMIT = 100_000
+TOP_N_LIMIT = 20_000
 ONE_BUCKET_ROWS = 4096
 BUCKETS = 1024
 SPLIT_SAMPLE = 8192
