@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from textdist.llm import decontam
+
 QUERIES, SQL = {}, {}
 
 
@@ -39,3 +41,9 @@ def op5_byte_bpe(spark, folder):
     from textdist.llm.bpe import round_trip
 
     return round_trip(table(spark, folder, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
+@query("op4_winnowing", decontam.SQL)
+def op4_winnowing(spark, folder):
+    rows = decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return rows.drop("_x")
