@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from textdist.llm import decontam
+from textdist.llm import decontam, sharding
 
 QUERIES, SQL = {}, {}
 
@@ -47,3 +47,8 @@ def op5_byte_bpe(spark, folder):
 def op4_winnowing(spark, folder):
     rows = decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return rows.drop("_x")
+
+
+@query("op7_extendible_hashing", sharding.SQL)
+def op7_extendible_hashing(spark, folder):
+    return sharding.assign(table(spark, folder, "documents"), limit=1 << 20)
