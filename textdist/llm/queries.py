@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from textdist.llm import decontam, sharding
+from textdist.llm import decontam, licences, sharding
 
 QUERIES, SQL = {}, {}
 
@@ -52,3 +52,8 @@ def op4_winnowing(spark, folder):
 @query("op7_extendible_hashing", sharding.SQL)
 def op7_extendible_hashing(spark, folder):
     return sharding.assign(table(spark, folder, "documents"), limit=1 << 20)
+
+
+@query("op6_licence_dice", licences.SQL)
+def op6_licence_dice(spark, folder):
+    return licences.scan(table(spark, folder, "documents"))
