@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from textdist.llm import decontam, licences, sharding
+from textdist.llm import decontam, langid, licences, sharding
 
 QUERIES, SQL = {}, {}
 
@@ -57,3 +57,8 @@ def op7_extendible_hashing(spark, folder):
 @query("op6_licence_dice", licences.SQL)
 def op6_licence_dice(spark, folder):
     return licences.scan(table(spark, folder, "documents"))
+
+
+@query("op10_language_evidence")
+def op10_language_evidence(spark, folder):
+    return langid.identify(table(spark, folder, "pages"), table(spark, folder, "documents"))
