@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from textdist.llm import decontam, langid, licences, sharding
+from textdist.llm import decontam, langid, licences, sharding, warc
+from textdist.session import scratch_path
 
 QUERIES, SQL = {}, {}
 
@@ -62,3 +63,10 @@ def op6_licence_dice(spark, folder):
 @query("op10_language_evidence")
 def op10_language_evidence(spark, folder):
     return langid.identify(table(spark, folder, "pages"), table(spark, folder, "documents"))
+
+
+@query("op2_warc")
+def op2_warc(spark, folder):
+    path = scratch_path(spark, "warc")
+    warc.write_pages(table(spark, folder, "pages"), path)
+    return warc.page_records(spark, path)
