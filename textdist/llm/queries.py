@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from textdist.llm import decontam, langid, licences, sharding, warc
+from textdist.llm import decontam, jaccard, jaccard_sql, langid, licences, sharding, warc
 from textdist.session import scratch_path
 
 QUERIES, SQL = {}, {}
@@ -70,3 +70,8 @@ def op2_warc(spark, folder):
     path = scratch_path(spark, "warc")
     warc.write_pages(table(spark, folder, "pages"), path)
     return warc.page_records(spark, path)
+
+
+@query("op8_jaccard_trie", jaccard_sql.SQL)
+def op8_jaccard_trie(spark, folder):
+    return jaccard.classes(table(spark, folder, "documents")).drop("class_id")
