@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from textdist.llm import decontam, jaccard, jaccard_sql, langid, licences, sharding, warc
+from textdist.llm import decontam, jaccard, jaccard_sql, langid, licences, sharding, suffixes, warc
 from textdist.session import scratch_path
 
 QUERIES, SQL = {}, {}
@@ -75,3 +75,8 @@ def op2_warc(spark, folder):
 @query("op8_jaccard_trie", jaccard_sql.SQL)
 def op8_jaccard_trie(spark, folder):
     return jaccard.classes(table(spark, folder, "documents")).drop("class_id")
+
+
+@query("op1_suffix_array")
+def op1_suffix_array(spark, folder):
+    return suffixes.remove(table(spark, folder, "documents")).drop("kept")
