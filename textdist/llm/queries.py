@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from textdist.llm import decontam, jaccard, jaccard_sql, langid, licences, sharding, suffixes, warc
+from textdist.llm import backoff, decontam, jaccard, jaccard_sql, langid, licences, sharding, suffixes, warc
 from textdist.session import scratch_path
 
 QUERIES, SQL = {}, {}
@@ -80,3 +80,9 @@ def op8_jaccard_trie(spark, folder):
 @query("op1_suffix_array")
 def op1_suffix_array(spark, folder):
     return suffixes.remove(table(spark, folder, "documents")).drop("kept")
+
+
+@query("op9_stupid_backoff", backoff.SQL)
+def op9_stupid_backoff(spark, folder):
+    rows = backoff.score(table(spark, folder, "documents"))
+    return rows.withColumns({c: F.round(c, 4) for c in ("log_score", "mean_log_score")})
