@@ -3,12 +3,19 @@
 A text is cut into units: its lines, and its paragraphs of two or more lines. A unit and a template are normalised (lower case, runs
 of other signs than letters and digits become one space) and compared as multisets of word bigrams:
 2 * shared / (size + size). A coefficient of ``least`` needs sizes within a factor (2 - least) / least, so only
-templates within those bounds are candidates for a unit. Only bigrams that some template has are shuffled.
+templates within those bounds are candidates for a unit. Before any unit is cut, texts are passed over that lack all of a few
+words, chosen so that no match can do without them. Only bigrams that some template has are shuffled.
 
 Edges: null and empty texts, and units of one word, have no bigrams and match nothing. A unit that meets several
 templates keeps the best, the first by name of equals. Repeated equal rows give one set of matches. A null key stays null.
 """
 
+import math
+import re
+from collections import Counter
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import functions as F
 
 #: Licence notices and short licences as published (fixed values).
@@ -58,6 +65,30 @@ def templates_table(spark, templates):
     return grams.groupBy("template", "tn", "gram").agg(F.count(F.lit(1)).alias("tc"))
 
 
+def probes(templates, least):
+    """Words of which any text with a match has at least one.
+
+    A unit that matches a template lacks at most size - ceil(size * least / (2 - least)) of its bigrams. So words that stand in more
+    of its bigrams than that cannot all be missing. Chosen greedily over all templates, long words first."""
+    grams = {}
+    for name, text in templates.items():
+        words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.translate(str.maketrans(UPPER, LOWER)))
+        grams[name] = list(zip(words, words[1:]))
+    lack = {t: len(g) - math.ceil(len(g) * least / (2 - least) - 1e-9) + 1 for t, g in grams.items() if g}
+    chosen = []
+    while open_ := {t: n for t, n in lack.items() if n > 0}:
+        gain = Counter()
+        for t, n in open_.items():
+            for w, c in Counter(w for pair in grams[t] for w in set(pair)).items():
+                gain[w] += min(c, n)
+        word = max(gain, key=lambda w: (len(w) > 5, gain[w], w))
+        chosen.append(word)
+        for t in open_:
+            lack[t] -= sum(word in pair for pair in grams[t])
+            grams[t] = [pair for pair in grams[t] if word not in pair]
+    return chosen
+
+
 def _units(df, key, text):
     rows = df.select(F.col(key).alias("_k"), F.xxhash64(F.col(text)).alias("_x"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
     lines = F.transform(F.split("_t", "\n"), lambda x, i: F.struct(F.lit("line").alias("kind"), i.alias("unit"), x.alias("body")))
@@ -69,7 +100,10 @@ def _units(df, key, text):
 def scan(df, key="doc_id", text="text", least=0.8, templates=None):
     """Rows (key, kind, unit, licence, dice, n_bigrams): units whose best template has a coefficient of ``least``.
     ``unit`` counts the lines, or the paragraphs, of the text from 0."""
-    grams = templates_table(df.sparkSession, templates or TEMPLATES)
+    templates = templates or TEMPLATES
+    grams = templates_table(df.sparkSession, templates)
+    low = F.lower(F.col(text).cast("string"))
+    df = df.where(reduce(or_, [low.contains(w) for w in probes(templates, least)], F.lit(False)))
     sizes = grams.agg(F.min("tn").alias("low"), F.max("tn").alias("high")).first()
     wide = (2 - least) / least
     units = _counted(_units(df, key, text), "body").where((F.col("n") > 0) & (F.col("n") * wide >= (sizes.low or 1)) & (F.col("n") <= (sizes.high or 0) * wide))
