@@ -4,6 +4,10 @@ from textdist.llm import stages
 
 STAGES = [
     ("quality_rules", stages.quality_rules),
+    ("near_duplicates", stages.near_duplicates),
+    ("repeated_passages", stages.repeated_passages),
+    ("decontaminated", stages.decontaminated),
+    ("tokens", stages.tokens),
 ]
 
 #: The first stage counts tokens of a public vocabulary, which SQL cannot; tests hold the rows against brute force.

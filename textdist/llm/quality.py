@@ -180,12 +180,16 @@ def measure(data, offs, langs, pieces, bands, min_words, max_repeat, min_tokens)
             n_tokens, per_token, share, entropy, band, good]
 
 
-def measures(df, model, key="doc_id", text="text", lang=None, bands: Mapping = BANDS, min_words=10, max_repeat=20, min_tokens=50):
-    """Rows (key, base counts, measures, band, inside: within the fixed limits), one per row of ``df``."""
+def measures(df, model, key="doc_id", text="text", lang=None, carry=(), bands: Mapping = BANDS, min_words=10, max_repeat=20, min_tokens=50):
+    """Rows (key, base counts, measures, band, inside: within the fixed limits), one per row of ``df``; columns in ``carry``
+    come along as _c0, _c1 and so on, so no join is needed to keep or drop rows."""
     bands = dict(bands)
-    kept = df.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"), (F.col(lang) if lang else F.lit(None)).cast("string").alias("_l"))
-    schema = f"_k {dict(kept.dtypes)['_k']}, {BASE}, {MEASURES}"
-    names = ["_k", *(c.split()[0] for c in f"{BASE}, {MEASURES}".split(", "))]
+    held = [f"_c{i}" for i in range(len(carry))]
+    kept = df.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"), (F.col(lang) if lang else F.lit(None)).cast("string").alias("_l"),
+                     *[F.col(c).alias(h) for c, h in zip(carry, held)])
+    types = dict(kept.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in ["_k", *held]) + f", {BASE}, {MEASURES}"
+    names = ["_k", *held, *(c.split()[0] for c in f"{BASE}, {MEASURES}".split(", "))]
 
     def run(batches):
         pieces = Pieces(model)
@@ -193,7 +197,7 @@ def measures(df, model, key="doc_id", text="text", lang=None, bands: Mapping = B
             for part in slices(batch, "_t"):
                 data, offs = flat(part.column("_t"))
                 made = measure(data, offs, part.column("_l").to_pylist(), pieces, bands, min_words, max_repeat, min_tokens)
-                yield pa.RecordBatch.from_arrays([part.column("_k"), *map(pa.array, made)], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("_k"), *(part.column(h) for h in held), *map(pa.array, made)], names=names)
 
     return kept.mapInArrow(run, schema).withColumnRenamed("_k", key)
 

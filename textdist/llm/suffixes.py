@@ -309,16 +309,17 @@ def repeated_ranges(df, key="doc_id", text="text", window=WINDOW, levels=LEVELS,
     return ranges
 
 
-def remove(df, key="doc_id", text="text", window=WINDOW, carry=(), **options):
+def remove(df, key="doc_id", text="text", window=WINDOW, carry=(), as_text=False, **options):
     """Rows (key, carried columns, n_bytes, n_removed, n_spans, kept_sha256, kept), one per row of ``df``: length, bytes and
-    maximal spans removed, and what is left (binary: a cut may part a character)."""
+    maximal spans removed, and what is left. That is binary, as a cut may part a character; ``as_text`` gives it as a string
+    without the parts of such characters."""
     ranges = repeated_ranges(df, key, text, window, **options).groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("ranges"))
     rows = df.select(F.col(key).alias("_k"), F.col(text).cast("string").cast("binary").alias("_t"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     rows = rows.join(ranges, F.col("_k").cast("long") == F.col("doc"), "left").drop("doc")
     types = dict(rows.dtypes)
     held = [f"_c{i}" for i in range(len(carry))]
     names = ["_k", *held, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    schema = ", ".join(f"{c} {types[c]}" for c in ["_k", *held]) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    schema = ", ".join(f"{c} {types[c]}" for c in ["_k", *held]) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept " + ("string" if as_text else "binary")
 
     def cut(data, start, size):
         if not len(start):
@@ -346,7 +347,8 @@ def remove(df, key="doc_id", text="text", window=WINDOW, carry=(), **options):
                 made = [cut(data[a:b], starts[i:j], sizes[i:j]) for a, b, i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), at, at[1:])]
                 kept = [np.ascontiguousarray(x[2]).tobytes() for x in made]
                 columns = [pa.array(np.diff(offs)), pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.int64()),
-                           pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary())]
+                           pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
+                           pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column("_k"), *(part.column(c) for c in held), *columns], names=names)
 
     out = rows.mapInArrow(run, schema).withColumnRenamed("_k", key)
