@@ -9,7 +9,7 @@ so far and the remaining lengths cannot reach a link.
 
 What keeps hot groups whole and bounded:
 * Equal sets are one class (a partial aggregate); only its least id is compared.
-* Frequent shingles are found by task-local counts and summed; the list is at most ``MOST_FREQUENT`` long by its threshold.
+* Frequent shingles are counted over all texts; the list that orders the sets is kept to ``MOST_FREQUENT`` by raising its threshold.
 * Near copies are linked first, around the least id that shares one of a few minima, in chunks of at most
   ``CHUNK`` sets; shingle groups then only give pairs between components, so a large group of near copies costs no pairs.
 
@@ -29,9 +29,8 @@ from textdist.llm.components import components
 from textdist.llm.shingles import shingle_sets
 from textdist.session import cut_lineage
 
-MOST_FREQUENT = 1_000_000
-LEAST_FREQUENT = 16
-FLUSH = 4_000_000
+#: texts that share a frequent shingle, at least; how many such shingles the tasks hold at most; hashes looked at
+LEAST_FREQUENT, MOST_FREQUENT, HEAD_RANGE = 16, 2_000_000, 0.4
 MINIMA = 3
 CHUNK = 512
 HEADS_PER_BUCKET = 400_000
@@ -50,38 +49,65 @@ def _signature(s):
 
 
 def _described(docs, size):
-    """One pass: a row per text (doc, n, s1, s2, minima), and rows (token, df) of shingles that several texts of a task share."""
-    schema = "doc long, n long, s1 long, s2 long, minima array<long>, token long, df long"
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def frequent(parts):
-        tokens, counts = np.unique(np.concatenate(parts), return_counts=True)
-        often = counts >= 3
-        k = int(often.sum())
-        nothing = [pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([*nothing, pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], names=names)
+    """A row per text: (doc, n, s1, s2, minima)."""
+    names = ["doc", "n", "s1", "s2", "minima"]
 
     def run(batches):
-        parts, held, seen = [], 0, set()
         for batch in batches:
             for part in slices(batch, "_t"):
                 sets = shingle_sets(*flat(part.column("_t")), size)
-                rows = [(_signature(s), [int(mix(s ^ SALTS[k]).min().astype(np.int64)) for k in range(MINIMA)] if len(s) else None) for s in sets]
-                for s, (sig, _) in zip(sets, rows):
-                    if tuple(sig) not in seen:
-                        seen.add(tuple(sig))
-                        parts.append(s)
-                        held += len(s)
-                k = len(sets)
-                made = [[len(s) for s in sets], [r[0][0] for r in rows], [r[0][1] for r in rows]]
-                yield pa.RecordBatch.from_arrays([part.column("_k"), *(pa.array(x, pa.int64()) for x in made), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names=names)
-                if held >= FLUSH:
-                    yield frequent(parts)
-                    parts, held, seen = [], 0, set()
-        if parts:
-            yield frequent(parts)
-
-    return docs.mapInArrow(run, schema)
+                signs = [_signature(s) for s in sets]
+                minima = [[int(mix(s ^ SALTS[k]).min().astype(np.int64)) for k in range(MINIMA)] if len(s) else None for s in sets]
+                made = [[len(s) for s in sets], [x for x, _ in signs], [y for _, y in signs]]
+                yield pa.RecordBatch.from_arrays([part.column("_k"), *(pa.array(x, pa.int64()) for x in made), pa.array(minima, pa.list_(pa.int64()))], names=names)
+
+    return docs.mapInArrow(run, "doc long, n long, s1 long, s2 long, minima array<long>")
+
+
+def _frequent(docs, size, parts):
+    """Rows (prefix, df): leading 32 bits of shingles, below ``HEAD_RANGE`` of all hashes, that ``LEAST_FREQUENT`` or more texts share.
+
+    Only an order comes of this, so prefixes stand for shingles and equal sets of a task count once. Heads reach little beyond that range."""
+    top = int(HEAD_RANGE * (1 << 32))
+    width = -(-top // parts)
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            for part in slices(batch, "_t", 16 << 20):
+                low = []
+                for s in shingle_sets(*flat(part.column("_t")), size):
+                    sign = tuple(_signature(s))
+                    if len(s) and sign not in seen:
+                        seen.add(sign)
+                        p = (s >> np.uint64(32)).astype(np.uint32)
+                        low.append(p[: np.searchsorted(p, top)])
+                low = np.sort(np.concatenate(low)) if low else np.zeros(0, np.uint32)
+                cut = np.searchsorted(low, np.minimum(np.arange(parts + 1) * width, (1 << 32) - 1))
+                some = [i for i in range(parts) if cut[i + 1] > cut[i]]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([low[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], names=["part", "prefixes"])
+
+    def count(batches):
+        held = [np.frombuffer(x, np.uint32) for batch in batches for x in batch.column("prefixes").to_pylist()]
+        if held:
+            prefix, df = np.unique(np.concatenate(held), return_counts=True)
+            often = df >= LEAST_FREQUENT
+            yield pa.RecordBatch.from_arrays([pa.array(prefix[often].astype(np.int64)), pa.array(df[often].astype(np.int64))], names=["prefix", "df"])
+
+    return docs.mapInArrow(run, "part int, prefixes binary").repartitionById(parts, F.col("part")).mapInArrow(count, "prefix long, df long")
+
+
+def _most_frequent(rows):
+    """Sorted prefixes of the frequent shingles: all, or those at least as frequent as leaves ``MOST_FREQUENT``."""
+    rows = cut_lineage(rows)
+    classes = rows.groupBy(F.floor(F.log2("df")).alias("c")).count().orderBy(F.desc("c")).collect()  # at most 64
+    least, held = 1 << 62, 0
+    for c, n in classes:
+        held += n
+        if held > MOST_FREQUENT:
+            break
+        least = 1 << c
+    return np.sort(rows.where(F.col("df") >= least).select("prefix").toPandas()["prefix"].to_numpy(np.uint32))
 
 
 def _zip(x):
@@ -107,8 +133,8 @@ def _heads(docs, frequent, buckets, size, num, den):
                         continue
                     seen.add(sig)
                     if len(often):
-                        at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                        hot = often[at] == s
+                        prefix = (s >> np.uint64(32)).astype(np.uint32)
+                        hot = often[np.minimum(np.searchsorted(often, prefix), len(often) - 1)] == prefix
                         s = np.concatenate([s[~hot], s[hot]])
                     head = s[: n - _needed(n, num, den) + 1]
                     tokens.append(head)
@@ -299,16 +325,12 @@ def _links(docs, pairs, size, num, den):
 def classes(df, key="doc_id", text="text", size=5, num=75, den=100):
     """Rows (key, n_shingles, class_id, component_id), one per row of ``df``: sizes, the least id with an equal set, and the
     least id that links reach. Sets link when den * overlap >= num * union."""
-    spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("_t"))
-    first = cut_lineage(_described(docs, size))
-    rows = first.where("token IS NULL")
+    rows = cut_lineage(_described(docs, size))
     sets = rows.where("n > 0 AND doc IS NOT NULL")
     reps = cut_lineage(sets.groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"), F.first("minima").alias("minima")))
     total = reps.agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST_FREQUENT, total // MOST_FREQUENT + 1)
-    frequent = first.where("token IS NOT NULL").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= least)
-    frequent = np.sort(np.array([r.token for r in frequent.select("token").toLocalIterator()], np.int64).view(np.uint64))
+    frequent = _most_frequent(_frequent(docs, size, max(8, int(total * HEAD_RANGE) // 1_000_000)))
 
     # near copies: around the least id of one of the minima
     keys = reps.select("rep", F.posexplode("minima").alias("k", "m"))
