@@ -33,9 +33,9 @@ WINDOW = 100
 LEVELS = (24, 64)
 GROUP = 1000
 #: of a slice that is hashed, of the runs a task gathers before it deals them, of a collection
-HASH_BYTES, RUNS, COLLECTION_BYTES = 2 << 20, 400_000, 2 << 20
-RUNS_PER_BUCKET = 400_000
-BROADCAST_RUNS = 3_000_000
+HASH_BYTES, RUNS, COLLECTION_BYTES = 1 << 19, 150_000, 1 << 20
+RUNS_PER_BUCKET = 150_000
+BROADCAST_RUNS = 1_000_000
 
 _rng = np.random.default_rng(7)
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
