@@ -28,13 +28,19 @@ def words(text):
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), "")
 
 
+def _let(value, body):
+    """``body`` of ``value``, evaluated once: a column named in a lambda would be worked out again for every element
+    wherever the optimizer moves its expression there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _places(length, size):
     """1-based starts of the runs of ``size`` in an array of ``length``."""
     return F.when(F.col(length) >= size, F.sequence(F.lit(1), F.col(length) - (size - 1))).otherwise(F.array().cast("array<int>"))
 
 
 def _grams(hashes, length, size):
-    return F.transform(_places(length, size), lambda i: F.xxhash64(F.slice(hashes, i, size)))
+    return _let(F.col(hashes), lambda h: F.transform(_places(length, size), lambda i: F.xxhash64(F.slice(h, i, size))))
 
 
 def _hashed(df, key, text):
@@ -47,7 +53,7 @@ def _winnowed(rows, gram, window):
     """Adds g (hashes of grams) and f (least of every run of grams a window spans)."""
     run = window - gram + 1
     rows = rows.select("*", _grams("h", "n", gram).alias("g"))
-    return rows.select("*", F.transform(_places("n", window), lambda i: F.array_min(F.slice("g", i, run))).alias("f"))
+    return rows.select("*", _let(F.col("g"), lambda g: F.transform(_places("n", window), lambda i: F.array_min(F.slice(g, i, run)))).alias("f"))
 
 
 def _around(i, size, gram, window):
@@ -74,8 +80,9 @@ def _agreeing(a, b):
 def _item_fingerprints(items, gram, window):
     run = window - gram + 1
     rows = _winnowed(items.where(F.col("n") >= window), gram, window)
-    best = lambda i: F.array_max(F.slice("f", F.greatest(i - (run - 1), F.lit(1)), F.least(i, F.lit(run))))
-    chosen = F.filter(_places("n", gram), lambda i: best(i) == F.element_at("g", i))
+    best = lambda f, i: F.array_max(F.slice(f, F.greatest(i - (run - 1), F.lit(1)), F.least(i, F.lit(run))))
+    both = F.struct("f", "g")
+    chosen = _let(both, lambda x: F.filter(_places("n", gram), lambda i: best(x["f"], i) == F.element_at(x["g"], i)))
     seeds = _seeds(rows, chosen, gram, window).drop("_x", "p")
     return seeds.select(F.col("_k").alias("item"), "f", F.col("before").alias("ib"), F.col("after").alias("ia"), F.col("own").alias("io")).distinct()
 
@@ -90,7 +97,7 @@ def _long_hits(docs, items, gram, window, limit):
     marks = found.select("f").distinct()
     rows = _winnowed(docs, gram, window)
     small = marks.limit(limit + 1).count() <= limit
-    where = lambda f: F.filter(_places("n", gram), lambda i: F.element_at("g", i) == f)
+    where = lambda f: _let(F.col("g"), lambda g: F.filter(_places("n", gram), lambda i: F.element_at(g, i) == f))
     met = rows.select("*", F.explode(F.array_distinct("f")).alias("m"))
     if small:
         met = met.join(F.broadcast(marks.withColumnRenamed("f", "m")), "m")
@@ -99,7 +106,7 @@ def _long_hits(docs, items, gram, window, limit):
         met = met.select("_k", "_x", "m").distinct().join(marks.withColumnRenamed("f", "m"), "m")
         met = met.groupBy(F.col("_k").alias("_k2"), F.col("_x").alias("_x2")).agg(F.collect_set("m").alias("ms"))
         rows = rows.join(met, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_x") == F.col("_x2"))).drop("_k2", "_x2")
-        at = F.filter(_places("n", gram), lambda i: F.array_contains("ms", F.element_at("g", i)))
+        at = _let(F.struct("g", "ms"), lambda x: F.filter(_places("n", gram), lambda i: F.array_contains(x["ms"], F.element_at(x["g"], i))))
         seeds = _seeds(rows, at, gram, window)
     pairs = seeds.join(F.broadcast(found) if small and found.limit(limit + 1).count() <= limit else found, "f").where(F.col("own") == F.col("io"))
     pairs = pairs.select("_k", "_x", "item", "p", _agreeing("before", "ib").alias("a"), _agreeing("after", "ia").alias("b"))
