@@ -48,7 +48,8 @@ MOST_TEMPLATES = 2000
 def _bigrams(text):
     """Word bigrams of a text in their order, as strings."""
     words = F.array_remove(F.split(F.translate(text, UPPER, LOWER), GAP), "")
-    return F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    pairs = lambda w: F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    return F.get(F.transform(F.array(words), pairs), F.lit(0))  # the words are worked out once
 
 
 def _counted(df, text):
