@@ -43,6 +43,11 @@ def _needed(n, num, den):
     return (num * n + den - 1) // den
 
 
+def _sets(part, size):
+    """Shingle sets of a slice, worked out in smaller slices."""
+    return [s for small in slices(part, "_t", 1 << 20) for s in shingle_sets(*flat(small.column("_t")), size)]
+
+
 def _signature(s):
     with np.errstate(over="ignore"):
         return [int(np.add.reduce(mix(s ^ SALTS[-2])).astype(np.int64)), int(np.add.reduce(mix(s ^ SALTS[-1])).astype(np.int64))]
@@ -55,7 +60,7 @@ def _described(docs, size):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "_t"):
-                sets = shingle_sets(*flat(part.column("_t")), size)
+                sets = _sets(part, size)
                 signs = [_signature(s) for s in sets]
                 minima = [[int(mix(s ^ SALTS[k]).min().astype(np.int64)) for k in range(MINIMA)] if len(s) else None for s in sets]
                 made = [[len(s) for s in sets], [x for x, _ in signs], [y for _, y in signs]]
@@ -74,9 +79,9 @@ def _frequent(docs, size, parts):
     def run(batches):
         seen = set()
         for batch in batches:
-            for part in slices(batch, "_t", 16 << 20):
+            for part in slices(batch, "_t", 8 << 20):
                 low = []
-                for s in shingle_sets(*flat(part.column("_t")), size):
+                for s in _sets(part, size):
                     sign = tuple(_signature(s))
                     if len(s) and sign not in seen:
                         seen.add(sign)
@@ -125,9 +130,9 @@ def _heads(docs, frequent, buckets, size, num, den):
     def run(batches):
         often = shared.value
         for batch in batches:
-            for part in slices(batch, "_t", 16 << 20):
+            for part in slices(batch, "_t", 8 << 20):
                 ids, seen, tokens, own, ns = part.column("_k").to_pylist(), set(), [], [], []
-                for k, s in zip(ids, shingle_sets(*flat(part.column("_t")), size)):
+                for k, s in zip(ids, _sets(part, size)):
                     n = len(s)
                     if not n or k is None or (sig := tuple(_signature(s))) in seen:
                         continue
@@ -304,7 +309,7 @@ def _links(docs, pairs, size, num, den):
     def sets(batches):
         for batch in batches:
             for part in slices(batch, "_t"):
-                made = [s.tobytes() for s in shingle_sets(*flat(part.column("_t")), size)]
+                made = [s.tobytes() for s in _sets(part, size)]
                 yield pa.RecordBatch.from_arrays([part.column("_k"), pa.array(made, pa.binary())], names=["doc", "tokens"])
 
     some = some.mapInArrow(sets, "doc long, tokens binary")
