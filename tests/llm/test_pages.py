@@ -38,7 +38,6 @@ def test_warc_ranges_filters_and_skipping(spark, tmp_path):
         assert sorted(r.record_id for r in got.collect()) == sorted(f"{warc.PREFIX}{i}" for i in range(200))
     one = warc.read(spark, path, payload=False).where("record_type = 'response' AND target_uri IN ('http://h1.example.org/4%0D%0Ax', 'http://h1.example.org/7%0D%0Ax')")
     assert {(r.record_id, r.payload) for r in one.collect()} == {(f"{warc.PREFIX}4", None), (f"{warc.PREFIX}7", None)}
-    assert "PushedFilters" not in one._jdf.queryExecution().toString() or True
     reader = warc.WarcReader({"path": path})
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
@@ -82,6 +81,6 @@ def test_language_on_held_out_documents(spark):
     """Trained on even documents, right on the odd ones."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     pages = docs.where("doc_id % 2 = 1 AND n_chars > 200").selectExpr("doc_id AS page_id", "concat('http://h', doc_id % 7, '.example.com/') AS url", "concat('<html><p>', text, '</p></html>') AS html", "lang")
-    got = langid.identify(pages, docs.where("doc_id % 2 = 0")).join(pages.select("page_id", pages["lang"].alias("true")), "page_id")
+    got = langid.identify(pages, docs.where("doc_id % 2 = 0")).join(pages.select("page_id", pages["lang"].alias("truth")), "page_id")
     n = got.count()
-    assert got.where("lang = true").count() >= 0.97 * n
+    assert got.where("lang = truth").count() >= 0.97 * n
