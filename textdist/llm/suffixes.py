@@ -11,7 +11,7 @@ anchor) is the same for equal windows. So texts are cut into runs of windows wit
    its windows are dealt again by longer k-grams, at last by whole windows, whose equal runs step 1 removes.
 
 Equal windows stand at the same place of equal anchors, so no window is missed; classes and anchors are told apart by
-64-bit hashes, windows by their bytes. Texts move once to be cut where few runs are wanted (broadcast if counted), and once to be removed from.
+64-bit hashes, windows by their bytes. Texts move twice, by id: to be cut, and to be removed from.
 
 Edges: null and empty texts, and texts shorter than the window, are kept whole. Ids are integers and order the texts. A row
 with a null id is kept whole. Rows of one id are one text: equal rows do not remove each other. An empty table gives no rows.
@@ -35,7 +35,6 @@ GROUP = 1000
 #: of a slice that is hashed, of the runs a task gathers before it deals them, of a collection
 HASH_BYTES, RUNS, COLLECTION_BYTES = 1 << 19, 150_000, 1 << 20
 RUNS_PER_BUCKET = 150_000
-BROADCAST_RUNS = 1_000_000
 
 _rng = np.random.default_rng(7)
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -225,9 +224,8 @@ def _sorted_out(group):
 
 def _with_ranges(docs, wanted, window):
     """Texts with the byte ranges of the wanted runs, as ``ranges`` (start, size, anchor)."""
-    few = wanted.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
     ranges = wanted.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("size") + (window - 1)).alias("size"), "anchor"))).alias("ranges"))
-    return docs.join(F.broadcast(ranges) if few else ranges, F.col("_k") == F.col("doc")).select("_k", "_t", "ranges")
+    return docs.join(ranges, F.col("_k") == F.col("doc")).select("_k", "_t", "ranges")
 
 
 def _collections(docs, wanted, window):
