@@ -54,7 +54,7 @@ def test_webtext_reads_its_cache(spark, tmp_path):
     gens = texts(spark, 20, "gen").withColumn("prediction", F.concat(F.lit("said "), "text"))
     calls = []
     feature = lambda df: calls.append(1) or hashed(df)
-    run = lambda: evaluate.evaluate_webtext(texts(spark, 30, "ref"), gens, "id", feature, str(tmp_path), "r", scorers=PRDC)
+    run = lambda: evaluate.evaluate_webtext(texts(spark, 30, "ref"), gens, "id", feature, "f", "texts", str(tmp_path), "r", scorers=PRDC)
     first, second = sorted(map(tuple, run().collect())), sorted(map(tuple, run().collect()))
     assert first == second and len(first) == 8 and len(calls) == 3
 
@@ -68,9 +68,9 @@ def test_biographies_record_errors_and_go_on(spark, tmp_path):
         return texts(spark, 20, "gen", "prediction")
 
     sink = str(tmp_path / "sink")
-    evaluate.evaluate_biographies(refs, generations, "id", hashed, str(tmp_path), "r", sink, (1,), (1, 2), scorers=PRDC)
+    evaluate.evaluate_biographies(refs, generations, "id", hashed, "hashed", "texts", str(tmp_path), "r", sink, (1,), (1, 2), scorers=PRDC)
     rows = read_metrics(spark, sink).collect()
-    assert [(r.step, r.note) for r in rows if r.name == "error"] == [(0, "n_icl 1: LookupError")]
+    assert [(r.step, r.note) for r in rows if r.name == "error"] == [(0, "n_icl 1: LookupError: missing")]
     assert {r.name for r in rows if r.step == 1} == {"n_icl", "prdc.precision", "prdc.recall", "prdc.density", "prdc.coverage"}
 
 
@@ -82,7 +82,7 @@ def test_pairs_skip_finished(spark, tmp_path):
         return texts(spark, 12 + seed, model, "prediction")
 
     for seeds in ((1,), (1, 2)):
-        out = evaluate.evaluate_pairs(generations, "a", 1, "b", "id", hashed, str(tmp_path), seeds, scorers=PRDC)
+        out = evaluate.evaluate_pairs(generations, "a", 1, "b", "id", hashed, "hashed", "texts", str(tmp_path), seeds, scorers=PRDC)
         assert out.count() == 4 * len(seeds)
     assert calls.count(("b", 1)) == 1
 
@@ -97,3 +97,18 @@ def test_hparams_and_keys(spark):
     flat = spark.range(1).select(R.scorer_hparams(scorers.RUN_SCORERS).alias("a"), R.self_bleu_hparams(0.2, "split", (1, 2), (4,)).alias("b"),
                                  R.feature_hparams("hash", "-1").alias("c")).first()
     assert flat.a["prdc_k"] == "4" and flat.b["bleu-sample_ratio"] == "0.2" and flat.c["layer"] == "-1"
+
+
+def test_cached_rows_differ_by_features_source_and_scorers(spark, tmp_path):
+    """One root, two featurisers, two sources, two scorer settings: each gets its own rows."""
+    gens = texts(spark, 30, "gen").withColumn("prediction", F.col("text"))
+    refs = texts(spark, 30, "ref")
+    seen = []
+    long = lambda df: df.select("*", F.array(F.length("formatted_text").cast("double"), F.lit(0.0)).alias("x"))
+    flat = lambda df: df.select("*", F.array(F.lit(0.0), F.lit(1.0)).alias("x"))
+    for build, features in ((long, "length"), (flat, "constant")):
+        rows = evaluate.evaluate_webtext(refs, gens, "id", build, features, "texts", str(tmp_path), "r", ref_seeds=(1,), scorers=PRDC)
+        seen.append(sorted((r.name, r.value) for r in rows.collect()))
+    assert seen[0] != seen[1]
+    with pytest.raises(ValueError):
+        evaluate.evaluate_diversity(gens, "id", root=str(tmp_path))

@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 from check_oracle import compare, database  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
+from textdist.registry import QUERIES  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -19,7 +20,7 @@ def duck():
     return database(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     text, good = compare(spark, duck, FOLDER, name, entry.queries()[name], entry.oracle_sql().get(name))
     assert good, text

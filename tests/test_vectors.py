@@ -96,3 +96,11 @@ def test_kmeans_finds_clusters(points, limit):
 def test_kmeans_with_fewer_points_than_buckets(points):
     found = cluster.kmeans_centroids(points([[0.0], [0.0], [5.0], [5.0]]), 4, restarts=2, max_iter=5)
     assert 1 <= found.count() <= 4
+
+
+@pytest.mark.parametrize("limit", [0, 64 << 20])
+def test_kmeans_keeps_k_centroids_of_few_distinct_points(points, limit):
+    df = points([[i % 6, (i % 6) ** 2] for i in range(60)])
+    found = cluster.kmeans_centroids(df, 6, restarts=2, max_iter=5, block_rows=32, limit=limit)
+    assert sorted(tuple(r.x) for r in found.collect()) == [(float(i), float(i * i)) for i in range(6)]
+    assert cluster.kmeans_centroids(df, 9, restarts=1, max_iter=3, limit=limit).count() == 6

@@ -18,7 +18,7 @@ def entity_facts(entities, badges, titles, occupations, labels, key, badge):
     joined = concat_distinct(english, [key], "occupation", "occupations")
     return (
         featured.join(titles, key, "left").join(labels, key, "left").join(joined, key, "left")
-        .na.fill("", ["occupations"]).distinct()
+        .na.fill("", ["occupations"]).distinct().orderBy(*[c for c in labels.columns if c != key])
     )
 
 

@@ -65,10 +65,8 @@ def missing_pages(entities, pages, title, page_title):
 
 
 def experiment_grid(*tables):
-    """Every combination of small parameter tables, each measured before it is paired."""
+    """Every combination of parameter tables; one measured small is broadcast."""
     grid = tables[0]
     for table in tables[1:]:
-        if not small_enough(table, 1 << 20):
-            raise ValueError("a parameter table of the grid exceeds 1 MiB")
-        grid = grid.crossJoin(F.broadcast(table))
+        grid = grid.crossJoin(F.broadcast(table) if small_enough(table, 1 << 20) else table)
     return grid

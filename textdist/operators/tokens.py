@@ -19,22 +19,23 @@ def split_tokens(col):
 
 
 def encode_with_vocabulary(df, key, text, vocab, out="ids", unknown=0):
-    """Words to ids through a ``(token, token_id)`` table; unlisted words become ``unknown``."""
+    """Words to ids through a ``(token, token_id)`` table; unlisted words become ``unknown``. A null text has null ids."""
     # Whole texts move to their key first; words meet a broadcast vocabulary and regroup in place.
     dealt = df.repartition(key)
     placed = dealt.select(key, F.posexplode(words(F.col(text))).alias("_p", "token"))
     found = lookup_join(placed, vocab.select("token", "token_id"), ["token"], F.col(key), "left")
     ids = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("token_id", F.lit(unknown)).alias("i")))).alias("_e"))
-    return dealt.join(ids.select(key, F.transform("_e", lambda e: e["i"]).alias(out)), key)
+    ids = ids.select(F.col(key).alias("_key"), F.transform("_e", lambda e: e["i"]).alias(out))
+    return dealt.join(ids, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
-def decode_with_vocabulary(df, key, ids, vocab, out="text", special_ids=(BOS_ID, EOS_ID), separator=" "):
-    """Ids to text through a ``(token, token_id)`` table, special ids dropped first."""
+def decode_with_vocabulary(df, key, ids, vocab, out="text", special_ids=(BOS_ID, EOS_ID), separator=" ", unknown="<unk>"):
+    """Ids to text through a ``(token, token_id)`` table, special ids dropped first; ids it lacks become ``unknown``."""
     plain = F.filter(ids, lambda i: ~i.isin(*special_ids)) if special_ids else F.col(ids)
     dealt = df.repartition(key)
     placed = dealt.select(key, F.posexplode(plain).alias("_p", "token_id"))
-    found = lookup_join(placed, vocab.select("token", "token_id"), ["token_id"], F.xxhash64(key, "_p"))
-    text = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", "token"))).alias("_e"))
+    found = lookup_join(placed, vocab.select("token", "token_id"), ["token_id"], F.xxhash64(key, "_p"), "left")
+    text = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("token", F.lit(unknown)).alias("token")))).alias("_e"))
     decoded = text.select(key, F.array_join(F.transform("_e", lambda e: e["token"]), separator).alias(out))
     return dealt.join(decoded, key, "left").na.fill("", [out])
 

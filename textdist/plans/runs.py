@@ -7,11 +7,6 @@ DEFAULT_TOP_P = 1.0
 DEFAULT_TEMPERATURE = 1.0
 DEFAULT_REPETITION_PENALTY = 0.0
 
-RUN_SCHEMA = (
-    "run_id string, task string, model string, top_p double, temperature double, repetition_penalty double,"
-    "max_new_tokens int, max_samples int, seed int, n_icl int, top_k_words int, run_ts timestamp_ntz"
-)
-
 
 def generation_hparams(task_has_words=False):
     """Flat parameter map of the columns of a run, defaults filled in."""
@@ -54,11 +49,13 @@ def task_variant():
         F.col("task") == "wikipedia_bio", F.concat(F.lit("icl"), F.col("n_icl"))).otherwise(F.lit("all"))
 
 
-def sampling_name():
+def sampling_name(greedy=None):
+    """Name of the decoding settings; ``greedy`` is a column that is true where nothing is sampled."""
     penalty = F.coalesce("repetition_penalty", F.lit(DEFAULT_REPETITION_PENALTY))
-    return F.concat(
+    sampled = F.concat(
         F.lit("p"), F.coalesce("top_p", F.lit(DEFAULT_TOP_P)), F.lit("_t"),
         F.coalesce("temperature", F.lit(DEFAULT_TEMPERATURE)), F.lit("_r"), penalty)
+    return sampled if greedy is None else F.when(greedy, F.concat(F.lit("greedy_r"), penalty)).otherwise(sampled)
 
 
 RUN_KEYS = ("task", "variant", "model", "sampling", "seed")
@@ -66,7 +63,8 @@ RUN_KEYS = ("task", "variant", "model", "sampling", "seed")
 
 def with_run_key(runs, extra=()):
     """Partition columns of a run and one ``run_id`` hashed from them, its time and ``extra``
-    columns such as feature model, layer and k."""
-    keyed = runs.withColumn("variant", task_variant()).withColumn("sampling", sampling_name())
+    columns such as feature model, layer and k. Where ``do_sample`` is false, decoding was greedy."""
+    greedy = ~F.coalesce(F.col("do_sample"), F.lit(True)) if "do_sample" in runs.columns else None
+    keyed = runs.withColumn("variant", task_variant()).withColumn("sampling", sampling_name(greedy))
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*RUN_KEYS, "run_ts", *extra)]
     return keyed.withColumn("run_id", F.sha2(F.concat_ws("/", *parts), 256))

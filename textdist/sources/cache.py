@@ -37,6 +37,7 @@ def fill_missing(rows, compute, root, params, keys):
     spark = rows.sparkSession
     path = f"{root}/{parameter_key(params)}"
     stored = _stored(spark, path)
+    rows = rows.dropDuplicates(list(keys))
     todo = rows if stored is None else rows.join(stored.select(*keys), list(keys), "left_anti")
     compute(todo).write.mode("append").parquet(path)
     return spark.read.parquet(path)

@@ -11,15 +11,21 @@ SPLITS = ("train", "valid", "test")
 BINDING_FIELDS = ("itemLabel", "wikiTitle", "genderLabel", "birthDate", "occupations")
 
 
-def read_jsonl(spark, folder, name, split=None, limit=None):
+def read_jsonl(spark, folder, name, split=None, limit=None, order=None):
     """Field ``text`` of ``{name}.jsonl`` or ``{name}.{split}.jsonl``. ``split`` may be a list:
-    all files are read at once and tagged. ``limit`` keeps the first lines in file order."""
+    all files are read at once and tagged. ``limit`` keeps the first lines by ``order``, a field of the lines or
+    "text": lines have no order of their own once files are read in parts."""
+    if limit is not None and order is None:
+        raise ValueError("a limit needs an order")
     parts = [None] if split is None else [split] if isinstance(split, str) else list(split)
     paths = [f"{folder}/{name}.jsonl" if s is None else f"{folder}/{name}.{s}.jsonl" for s in parts]
-    df = spark.read.schema(TEXT_SCHEMA).json(paths)
+    more = "" if order in (None, "text") else f", {order} long"
+    df = spark.read.schema(TEXT_SCHEMA + more).json(paths)
     if split is not None:
         df = df.withColumn("split", F.regexp_extract(F.input_file_name(), r"\.([^./]+)\.jsonl(?:/|$)", 1))
-    return df if limit is None else df.limit(limit)
+    if limit is not None:
+        df = df.orderBy(order).limit(limit)
+    return df.drop(order) if more else df
 
 
 def read_bindings(spark, path, fields=BINDING_FIELDS):
