@@ -105,8 +105,8 @@ def test_cached_rows_differ_by_features_source_and_scorers(spark, tmp_path):
     refs = texts(spark, 30, "ref")
     seen = []
     long = lambda df: df.select("*", F.array(F.length("formatted_text").cast("double"), F.lit(0.0)).alias("x"))
-    flat = lambda df: df.select("*", F.array(F.lit(0.0), F.lit(1.0)).alias("x"))
-    for build, features in ((long, "length"), (flat, "constant")):
+    flat = lambda df: df.select("*", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x"))
+    for build, features in ((long, "length"), (flat, "id")):
         rows = evaluate.evaluate_webtext(refs, gens, "id", build, features, "texts", str(tmp_path), "r", ref_seeds=(1,), scorers=PRDC)
         seen.append(sorted((r.name, r.value) for r in rows.collect()))
     assert seen[0] != seen[1]
