@@ -11,7 +11,7 @@ What keeps hot groups whole and bounded:
 * Equal sets are one class (a partial aggregate); only its least id is compared.
 * Frequent shingles are counted over all texts; the list that orders the sets is kept to ``MOST_FREQUENT`` by raising its threshold.
 * Near copies are linked first, around the least id that shares one of a few minima, in chunks of at most
-  ``CHUNK`` sets; shingle groups then only give pairs between components, so a large group of near copies costs no pairs.
+  ``CHUNK`` sets, and around the best linked sets found so; shingle groups then only give pairs between components, so a large group of near copies costs no pairs.
 
 The result is exact up to 64-bit hash collisions: links are found between all different sets, and components over all links.
 
@@ -32,6 +32,7 @@ from textdist.session import cut_lineage
 #: texts that share a frequent shingle, at least; how many such shingles the tasks hold at most; hashes looked at
 LEAST_FREQUENT, MOST_FREQUENT, HEAD_RANGE = 16, 2_000_000, 0.4
 MINIMA = 3
+HUBS = 2
 CHUNK = 512
 HEADS_PER_BUCKET = 400_000
 BROADCAST_IDS = 1_000_000
@@ -268,8 +269,9 @@ class Trie:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def joined(ids, seqs, num, den):
-    """Links among the sets that connect all that link: at most one fewer than sets."""
+def joined(ids, seqs, num, den, queries=None):
+    """Links among the sets that connect all that link: at most one fewer than sets. With ``queries`` (places in
+    ``ids``), only the links of these are looked for."""
     trie = Trie(seqs)
     root = list(range(len(ids)))
 
@@ -283,7 +285,8 @@ def joined(ids, seqs, num, den):
     order = np.argsort(trie.tokens)
     ordered = trie.tokens[order]
     mark = np.zeros(len(ordered), np.int64)
-    for i, s in enumerate(seqs):
+    for i in range(len(seqs)) if queries is None else queries:
+        s = seqs[i]
         lo, hi = np.searchsorted(ordered, s), np.searchsorted(ordered, s, "right")
         mark[:] = 0
         np.add.at(mark, lo[lo < len(mark)], 1)
@@ -299,8 +302,9 @@ def joined(ids, seqs, num, den):
     return links
 
 
-def _links(docs, pairs, size, num, den):
-    """Links found around the first ids of ``pairs`` (a, b), a < b: those of all pairs, or links that connect as much."""
+def _links(docs, pairs, size, num, den, among):
+    """Links found around the first ids of ``pairs`` (a, b), a < b: those of all pairs, or links that connect as much. With ``among``,
+    links between the other sets of a chunk are looked for too."""
     pairs = cut_lineage(pairs)
     ids = pairs.select(F.col("a").alias("_i")).union(pairs.select("b")).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -321,7 +325,8 @@ def _links(docs, pairs, size, num, den):
     def join(table):
         ids, tokens = table.column("doc").to_pylist(), table.column("tokens").to_pylist()
         once = {i: np.frombuffer(t, np.uint64) for i, t in sorted(zip(ids, tokens)) if len(t)}
-        links = joined(list(once), list(once.values()), num, den)
+        lead = table.column("a")[0].as_py()
+        links = joined(list(once), list(once.values()), num, den, None if among else [i for i, k in enumerate(once) if k == lead])
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
     return sent.groupBy("a", "chunk").applyInArrow(join, "a long, b long")
@@ -341,9 +346,22 @@ def classes(df, key="doc_id", text="text", size=5, num=75, den=100):
     keys = reps.select("rep", F.posexplode("minima").alias("k", "m"))
     lead = keys.groupBy("k", "m").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1")
     near = keys.join(lead, ["k", "m"]).where("a < rep").groupBy(F.col("rep").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-    links = cut_lineage(_links(docs, near, size, num, den))
+    links = cut_lineage(_links(docs, near, size, num, den, True))
     parts = components(links)
 
+    # copies often link with their original and not with each other: around the set with most links so far that shares a minimum
+    for _ in range(HUBS):
+        degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+        told = keys.join(degree, "rep").join(parts, F.col("rep") == F.col("v"))
+        hub = told.groupBy("k", "m").agg(F.max(F.struct("links", F.col("rep").alias("a"), "c")).alias("h")).select("k", "m", "h.a", F.col("h.c").alias("ca"))
+        near = keys.join(hub, ["k", "m"]).join(parts, F.col("rep") == F.col("v"), "left").where("a <> rep AND ca <> coalesce(c, rep)")
+        near = near.select("a", F.col("rep").alias("b")).distinct()
+        more = cut_lineage(_links(docs, near, size, num, den, False))
+        if more.isEmpty():
+            break
+        links = cut_lineage(links.unionByName(more))
+        parts = components(links)
+
     # everything else: pairs between components that share a head and can still reach a link
     buckets = max(8, -(-total * (den - num) // den // HEADS_PER_BUCKET))
     heads = _heads(docs, frequent, buckets, size, num, den).repartitionById(buckets, F.col("bucket"))
@@ -357,7 +375,7 @@ def classes(df, key="doc_id", text="text", size=5, num=75, den=100):
     met = met.groupBy(F.col("docx").alias("a"), F.col("docy").alias("b")).agg(F.count_distinct("token").alias("c"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
     rest = F.greatest(*[F.floor((num * F.col(c) + den - 1) / den) - 1 for c in ("nx", "ny")])
     pairs = met.where((den + num) * (F.col("c") + rest) >= num * (F.col("nx") + F.col("ny"))).select("a", "b")
-    links = links.unionByName(_links(docs, pairs, size, num, den))
+    links = links.unionByName(_links(docs, pairs, size, num, den, False))
 
     parts = components(links)
     found = reps.join(parts.withColumnRenamed("v", "rep"), "rep", "left").select("s1", "s2", "n", "rep", F.coalesce("c", "rep").alias("component"))
