@@ -141,6 +141,21 @@ def test_jaccard_small_chunks_and_frequent_shingles(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.classes(df).collect()} == want and near is components.components
 
 
+def test_jaccard_star_of_copies(spark, monkeypatch):
+    """Copies that link with their original, whose id is the largest, and not with each other."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(90, " ".join(base))]
+    for k in range(40):
+        own = list(base)
+        for j in rng.sample(range(0, 400, 8), 9):
+            own[j] = f"z{k}_{j}"
+        rows.append((k, " ".join(own)))
+    monkeypatch.setattr(jaccard, "CHUNK", 6)
+    got = {r.doc_id: r.component_id for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert set(got.values()) == {0}
+
+
 def test_trie_finds_the_links_of_all_pairs():
     rng = random.Random(6)
     for _ in range(40):
