@@ -29,8 +29,8 @@ from textdist.llm.components import components
 from textdist.llm.shingles import shingle_sets
 from textdist.session import cut_lineage
 
-#: texts that share a frequent shingle, at least; how many such shingles the tasks hold at most; hashes looked at
-LEAST_FREQUENT, MOST_FREQUENT, HEAD_RANGE = 16, 2_000_000, 0.4
+#: texts that share a frequent shingle, at least; how many such shingles the tasks hold at most
+LEAST_FREQUENT, MOST_FREQUENT = 16, 2_000_000
 MINIMA = 3
 HUBS = 2
 CHUNK = 512
@@ -71,11 +71,10 @@ def _described(docs, size):
 
 
 def _frequent(docs, size, parts):
-    """Rows (prefix, df): leading 32 bits of shingles, below ``HEAD_RANGE`` of all hashes, that ``LEAST_FREQUENT`` or more texts share.
+    """Rows (prefix, df): leading 32 bits of shingles that ``LEAST_FREQUENT`` or more texts share.
 
-    Only an order comes of this, so prefixes stand for shingles and equal sets of a task count once. Heads reach little beyond that range."""
-    top = int(HEAD_RANGE * (1 << 32))
-    width = -(-top // parts)
+    Only an order comes of this, so prefixes stand for shingles and equal sets of a task count once."""
+    width = -(-(1 << 32) // parts)
 
     def run(batches):
         seen = set()
@@ -86,8 +85,7 @@ def _frequent(docs, size, parts):
                     sign = tuple(_signature(s))
                     if len(s) and sign not in seen:
                         seen.add(sign)
-                        p = (s >> np.uint64(32)).astype(np.uint32)
-                        low.append(p[: np.searchsorted(p, top)])
+                        low.append((s >> np.uint64(32)).astype(np.uint32))
                 low = np.sort(np.concatenate(low)) if low else np.zeros(0, np.uint32)
                 cut = np.searchsorted(low, np.minimum(np.arange(parts + 1) * width, (1 << 32) - 1))
                 some = [i for i in range(parts) if cut[i + 1] > cut[i]]
@@ -340,7 +338,7 @@ def classes(df, key="doc_id", text="text", size=5, num=75, den=100):
     sets = rows.where("n > 0 AND doc IS NOT NULL")
     reps = cut_lineage(sets.groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"), F.first("minima").alias("minima")))
     total = reps.agg(F.sum("n")).first()[0] or 0
-    frequent = _most_frequent(_frequent(docs, size, max(8, int(total * HEAD_RANGE) // 1_000_000)))
+    frequent = _most_frequent(_frequent(docs, size, max(8, total // 1_000_000)))
 
     # near copies: around the least id of one of the minima
     keys = reps.select("rep", F.posexplode("minima").alias("k", "m"))
