@@ -156,6 +156,20 @@ def test_jaccard_star_of_copies(spark, monkeypatch):
     assert set(got.values()) == {0}
 
 
+def test_jaccard_copies_in_descending_id_order(spark, monkeypatch):
+    """Two groups of exact copies that link, the least id of each last in its slice, and only the second half of the join."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    other = list(base)
+    other[rng.randrange(50, 150)] = "zz"
+    one, two, alone = " ".join(base), " ".join(other), " ".join(f"v{i}" for i in range(60))
+    rows = [(k, one if k % 2 else two) for k in range(20, 0, -1)] + [(30, alone), (25, alone), (None, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(jaccard, "MINIMA", 0)
+    got = {r.doc_id: r.component_id for r in jaccard.classes(df).collect()}
+    assert got == {**{k: 1 for k in range(1, 21)}, 30: 25, 25: 25, None: None}
+
+
 def test_trie_finds_the_links_of_all_pairs():
     rng = random.Random(6)
     for _ in range(40):

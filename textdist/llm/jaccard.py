@@ -123,7 +123,9 @@ def _unzip(x, n, kind):
 
 
 def _heads(docs, frequent, buckets, size, num, den):
-    """Heads of all sets, dealt by shingle: rows (bucket, tokens, docs, sizes), one per slice and bucket."""
+    """Heads of all sets, dealt by shingle: rows (bucket, tokens, docs, sizes), one per slice and bucket.
+
+    A slice gives equal sets once, under their least id there, so the least id of a whole class always has its head."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
@@ -131,9 +133,9 @@ def _heads(docs, frequent, buckets, size, num, den):
         for batch in batches:
             for part in slices(batch, "_t", 8 << 20):
                 ids, seen, tokens, own, ns = part.column("_k").to_pylist(), set(), [], [], []
-                for k, s in zip(ids, _sets(part, size)):
+                for k, s in sorted(((k, s) for k, s in zip(ids, _sets(part, size)) if k is not None), key=lambda x: x[0]):
                     n = len(s)
-                    if not n or k is None or (sig := tuple(_signature(s))) in seen:
+                    if not n or (sig := tuple(_signature(s))) in seen:
                         continue
                     seen.add(sig)
                     if len(often):
