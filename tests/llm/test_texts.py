@@ -57,6 +57,47 @@ def test_quality_rejects_mangled_text_and_keeps_prose(spark):
     assert not got[100] and sum(got[i] for i in range(60)) >= 55
 
 
+def _prose(rng, n, low=40, high=200):
+    words = "the quick brown fox jumps over a lazy dog and then it runs away from green fields near town where people walk home after work".split()
+    return [" ".join(rng.choice(words) for _ in range(rng.randint(low, high))) for _ in range(n)]
+
+
+def _mangled(rng, n=120):
+    return " ".join(rng.choice("qxzvjk") + rng.choice("qxzvjk") for _ in range(n))
+
+
+@pytest.mark.parametrize("copies", [50, 200])
+def test_quality_fit_counts_copies_once(spark, copies):
+    """A group of copies, a third of the rows or most of them, neither narrows its band nor leaves it unjudged."""
+    rng = random.Random(14)
+    clean = _prose(rng, 100)
+    rows = list(enumerate(clean)) + [(500, _mangled(rng))]
+    alone = {r.doc_id: (r.middle, r.kept) for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string"), PIECES).collect()}
+    more = rows + [(1000 + i, clean[0]) for i in range(copies)]
+    got = {r.doc_id: (r.middle, r.kept) for r in quality.quality(spark.createDataFrame(more, "doc_id long, text string"), PIECES).collect()}
+    assert {k: v for k, v in got.items() if k < 1000} == alone
+    assert not got[500][1] and sum(got[i][1] for i in range(100)) >= 98
+
+
+def test_quality_near_copies_leave_room(spark):
+    rng = random.Random(15)
+    clean, base = _prose(rng, 40), _prose(rng, 1, 150, 150)[0].split()
+    near = [" ".join([*base[:i], "dog", *base[i + 1 :]]) for i in range(60)]
+    rows = list(enumerate(clean + near)) + [(500, _mangled(rng))]
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string"), PIECES).collect()}
+    assert not got[500] and sum(got[i] for i in range(40)) >= 38
+
+
+def test_quality_small_bands_have_limits(spark):
+    """A language with few texts is judged by its script's fit, a table of few texts by fixed limits."""
+    rng = random.Random(16)
+    few = [(i, t, "de") for i, t in enumerate(_prose(rng, 5))] + [(100, _mangled(rng), "de")]
+    many = few + [(200 + i, t, "en") for i, t in enumerate(_prose(rng, 60))]
+    for rows in (few, many):
+        got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES, lang="lang").collect()}
+        assert not got.pop(100) and all(got[i] for i in range(5))
+
+
 def test_byte_bpe(messy, messy_rows, spark):
     import tiktoken
 

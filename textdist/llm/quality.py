@@ -4,12 +4,13 @@ Every word of a text is encoded by a public vocabulary. A text has three measure
 token, the share of tokens that are single bytes (what the vocabulary lacks), and the entropy of its
 tokens relative to the most its token count allows. A band belongs to a language, else to the script
 of most letters, else to all. Byte share and entropy have fixed limits per band. The limits of characters per
-token are fitted: median and spread over all texts of the band, the spread of a text falling with the root of its token
-count, so short texts are given room and only mangled text is rejected.
+token are fitted: median and spread over the distinct texts of the band, so copies do not count. The variance of a text is
+that of its tokens, which falls with their count, and that between texts, which does not. Both have a floor, so a group
+of near copies does not narrow a band.
 
 Edges: null and empty texts have no words, all counts 0, and fail the base rules. Rows keep their
 keys, repeated and null keys included. A text under ``min_tokens`` tokens is not judged by entropy; a band
-with fewer than ``min_texts`` texts, or without spread, is not judged by characters per token.
+with fewer than ``min_texts`` distinct texts is judged by its parent's fit (script, then all texts), and by fixed limits if that has too few as well.
 """
 
 from collections.abc import Mapping
@@ -41,6 +42,15 @@ BANDS = {
     "Han": (0.70, 0.30),
 }
 
+#: the band whose fit stands in for a band of few texts; of all others "default", to which every text belongs
+PARENTS = {"en": "Latin", "de": "Latin", "fr": "Latin", "es": "Latin"}
+
+#: least and most characters per token where no band can be fitted
+FIXED = {"default": (0.25, 12.0), "Latin": (1.25, 12.0), "Cyrillic": (1.0, 12.0), "Greek": (0.4, 12.0), "Han": (0.25, 4.0)}
+
+#: least deviation of one token and between texts, in parts of the median
+LEAST_SPREAD, LEAST_BETWEEN = 0.25, 0.01
+
 #: first and last code point of the letters that decide a script
 SCRIPTS = (("Latin", 0x41, 0x24F), ("Greek", 0x370, 0x3FF), ("Cyrillic", 0x400, 0x52F), ("Han", 0x4E00, 0x9FFF))
 
@@ -181,12 +191,12 @@ def measure(data, offs, langs, pieces, bands, min_words, max_repeat, min_tokens)
 
 
 def measures(df, model, key="doc_id", text="text", lang=None, carry=(), bands: Mapping = BANDS, min_words=10, max_repeat=20, min_tokens=50):
-    """Rows (key, base counts, measures, band, inside: within the fixed limits), one per row of ``df``; columns in ``carry``
+    """Rows (key, text_hash, base counts, measures, band, inside: within the fixed limits), one per row of ``df``; columns in ``carry``
     come along as _c0, _c1 and so on, so no join is needed to keep or drop rows."""
     bands = dict(bands)
-    held = [f"_c{i}" for i in range(len(carry))]
+    held = ["text_hash", *(f"_c{i}" for i in range(len(carry)))]
     kept = df.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"), (F.col(lang) if lang else F.lit(None)).cast("string").alias("_l"),
-                     *[F.col(c).alias(h) for c, h in zip(carry, held)])
+                     F.xxhash64(F.col(text).cast("string")).alias("text_hash"), *[F.col(c).alias(h) for c, h in zip(carry, held[1:])])
     types = dict(kept.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in ["_k", *held]) + f", {BASE}, {MEASURES}"
     names = ["_k", *held, *(c.split()[0] for c in f"{BASE}, {MEASURES}".split(", "))]
@@ -202,21 +212,40 @@ def measures(df, model, key="doc_id", text="text", lang=None, carry=(), bands: M
     return kept.mapInArrow(run, schema).withColumnRenamed("_k", key)
 
 
-def fitted(rows, min_texts=30):
-    """Per band: median characters per token, and the spread of a text of one token (median absolute
-    deviation, scaled to a standard deviation). Two aggregations; one row per band."""
-    used = rows.where("NOT base_failed AND n_tokens > 0")
-    middle = used.groupBy("band").agg(F.percentile_approx("chars_per_token", 0.5, 10000).alias("middle"), F.count(F.lit(1)).alias("texts"))
-    away = F.abs(F.col("chars_per_token") - F.col("middle")) * F.sqrt("n_tokens")
-    spread = used.join(F.broadcast(middle), "band").groupBy("band").agg((1.4826 * F.percentile_approx(away, 0.5, 10000)).alias("spread"))
-    return middle.where(F.col("texts") >= min_texts).join(spread.where("spread > 0"), "band").select("band", "middle", "spread")
-
-
-def quality(df, model, deviations=4.0, min_texts=30, **options):
+def lineage(band):
+    """The band and those whose fit can stand in for it, nearest first."""
+    return list(dict.fromkeys([band, PARENTS.get(band, "default"), "default"]))
+
+
+def fitted(rows, bands=BANDS, min_texts=30):
+    """Rows (band, middle, spread, between, least, most), one per name in ``bands``: median characters per token over distinct texts, the
+    deviation of a text of one token and that between texts (median absolute deviations, scaled to standard deviations); null
+    where neither the band nor its parents have ``min_texts`` texts, and fixed limits. Aggregations; one row per band reaches the driver."""
+    ways = F.create_map(*chain.from_iterable((F.lit(b), F.array(*map(F.lit, lineage(b)))) for b in bands))
+    used = rows.where("NOT base_failed AND n_tokens > 0").select(F.explode(ways[F.col("band")]).alias("band"), "text_hash", "chars_per_token", "n_tokens")
+    once = cut_lineage(used.groupBy("band", "text_hash").agg(F.first("chars_per_token").alias("x"), F.first("n_tokens").alias("n")))
+    middle = once.groupBy("band").agg(F.percentile_approx("x", 0.5, 10000).alias("middle"), F.percentile_approx("n", 0.75, 10000).alias("long"), F.count(F.lit(1)).alias("texts"))
+    away, far = F.abs(F.col("x") - F.col("middle")), F.col("n") >= F.col("long")
+    found = once.join(F.broadcast(middle.where(F.col("texts") >= min_texts)), "band").groupBy("band").agg(
+        F.first("middle").alias("middle"), (1.4826 * F.percentile_approx(away * F.sqrt("n"), 0.5, 10000)).alias("spread"),
+        (1.4826 * F.percentile_approx(F.when(far, away), 0.5, 10000)).alias("apart"), F.percentile_approx(F.when(far, F.col("n")), 0.5, 10000).alias("size"))
+    fit = {}
+    for r in found.collect():
+        spread = max(r.spread, LEAST_SPREAD * r.middle)
+        # what the longest quarter of the texts deviates beyond its tokens
+        between = max(r.apart**2 - spread**2 / r.size, (LEAST_BETWEEN * r.middle) ** 2) ** 0.5
+        fit[r.band] = (r.middle, spread, between)
+    made = [(b, *next((fit[x] for x in lineage(b) if x in fit), (None,) * 3), *next(FIXED[x] for x in lineage(b) if x in FIXED)) for b in bands]
+    return rows.sparkSession.createDataFrame(made, "band string, middle double, spread double, between double, least double, most double")
+
+
+def quality(df, model, deviations=4.0, min_texts=30, bands: Mapping = BANDS, **options):
     """``measures`` with the verdict ``kept``. ``model`` is the path of a sentencepiece vocabulary that every
     executor has, ``lang`` a column of language codes or None. The measures are written once to the
     shared folder; the bands (at most as many as ``bands`` has) are broadcast."""
-    rows = cut_lineage(measures(df, model, **options))
-    away = F.abs(F.col("chars_per_token") - F.col("middle")) * F.sqrt("n_tokens")
-    inside = F.col("inside") & F.coalesce(away <= deviations * F.col("spread"), F.lit(True))
-    return rows.join(F.broadcast(fitted(rows, min_texts)), "band", "left").withColumn("kept", ~F.col("base_failed") & inside).drop("inside")
+    rows = cut_lineage(measures(df, model, bands=bands, **options))
+    x, n = F.col("chars_per_token"), F.greatest("n_tokens", F.lit(1))
+    room = deviations * F.sqrt(F.col("spread") * F.col("spread") / n + F.col("between") * F.col("between"))
+    usual = F.when(F.col("middle").isNull(), x.between(F.col("least"), F.col("most"))).otherwise(F.abs(x - F.col("middle")) <= room)
+    inside = F.col("inside") & ((F.col("n_tokens") == 0) | usual)
+    return rows.join(F.broadcast(fitted(rows, bands, min_texts)), "band", "left").withColumn("kept", ~F.col("base_failed") & inside).drop("inside", "text_hash", "least", "most")
