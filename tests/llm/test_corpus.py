@@ -284,5 +284,19 @@ def test_backoff(messy, messy_rows, order, monkeypatch):
     assert all((r.mean_log_score is None) == (r.n_words == 0) for r in rows)
 
 
+def test_backoff_query_of_order_3(spark, tmp_path):
+    """A word is scored by its trigram where another document has it, and backs off twice where none has its bigram."""
+    from textdist.llm import queries
+
+    rows = [(1, "a b c"), (2, "a b c"), (3, "a b d"), (4, "x y c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.QUERIES["op9_stupid_backoff_order3"](spark, str(tmp_path)).collect()}
+    assert got[1].log_score == pytest.approx(math.log(2 / 9) + math.log(2 / 2) + math.log(1 / 2), abs=1e-4)
+    assert (got[1].n_backed_off, got[1].n_unseen) == (0, 0)
+    back = math.log(0.4)
+    assert got[4].log_score == pytest.approx(-math.log(9) + back + (-math.log(9) + 2 * back) + (math.log(2 / 9) + 2 * back), abs=1e-4)
+    assert (got[4].n_backed_off, got[4].n_unseen) == (3, 2)
+
+
 def test_backoff_empty(nothing):
     assert backoff.score(nothing).count() == 0

@@ -185,3 +185,23 @@ t AS (SELECT doc_id, sum(l) AS l, count(*) FILTER (off) AS n_backed_off, count(*
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(l, 0), 4) AS log_score, round(l / len(w), 4) AS mean_log_score,
        coalesce(n_backed_off, 0) AS n_backed_off, coalesce(n_unseen, 0) AS n_unseen FROM d LEFT JOIN t USING (doc_id)
 """
+
+#: the same for order 3
+SQL_3 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, w[i] AS x, CASE WHEN i > 1 THEN w[i - 1] END AS y, CASE WHEN i > 2 THEN w[i - 2] END AS z FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)),
+u AS (SELECT x, count(*) AS c FROM p GROUP BY x), ud AS (SELECT doc_id, x, count(*) AS c FROM p GROUP BY ALL),
+b AS (SELECT y, x, count(*) AS c FROM p WHERE y IS NOT NULL GROUP BY ALL), bd AS (SELECT doc_id, y, x, count(*) AS c FROM p WHERE y IS NOT NULL GROUP BY ALL),
+g AS (SELECT z, y, x, count(*) AS c FROM p WHERE z IS NOT NULL GROUP BY ALL), gd AS (SELECT doc_id, z, y, x, count(*) AS c FROM p WHERE z IS NOT NULL GROUP BY ALL),
+q AS (SELECT p.doc_id, i, greatest((SELECT count(*) FROM p) - len(d.w), 1) AS n, u.c - ud.c AS c1, b.c - bd.c AS c2, g.c - gd.c AS c3, uy.c - udy.c AS cy, bz.c - bdz.c AS cz
+      FROM p JOIN d USING (doc_id) JOIN u USING (x) JOIN ud USING (doc_id, x) LEFT JOIN b USING (y, x) LEFT JOIN bd USING (doc_id, y, x)
+      LEFT JOIN g USING (z, y, x) LEFT JOIN gd USING (doc_id, z, y, x)
+      LEFT JOIN u AS uy ON uy.x = p.y LEFT JOIN ud AS udy ON udy.x = p.y AND udy.doc_id = p.doc_id
+      LEFT JOIN b AS bz ON bz.y = p.z AND bz.x = p.y LEFT JOIN bd AS bdz ON bdz.y = p.z AND bdz.x = p.y AND bdz.doc_id = p.doc_id),
+k AS (SELECT *, CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 WHEN c1 > 0 THEN 1 ELSE 0 END AS used FROM q),
+s AS (SELECT doc_id, CASE used WHEN 3 THEN ln(c3 / cz) WHEN 2 THEN ln(c2 / cy) WHEN 1 THEN ln(c1 / n) ELSE -ln(n) END + (least(i, 3) - used) * ln(0.4) AS l,
+      used < least(i, 3) AS off, used = 0 AS unseen FROM k),
+t AS (SELECT doc_id, sum(l) AS l, count(*) FILTER (off) AS n_backed_off, count(*) FILTER (unseen) AS n_unseen FROM s GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(l, 0), 4) AS log_score, round(l / len(w), 4) AS mean_log_score,
+       coalesce(n_backed_off, 0) AS n_backed_off, coalesce(n_unseen, 0) AS n_unseen FROM d LEFT JOIN t USING (doc_id)
+"""

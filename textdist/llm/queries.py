@@ -82,6 +82,12 @@ def op1_suffix_array(spark, folder):
     return suffixes.remove(table(spark, folder, "documents")).drop("kept")
 
 
+@query("op9_stupid_backoff_order3", backoff.SQL_3)
+def op9_stupid_backoff_order3(spark, folder):
+    rows = backoff.score(table(spark, folder, "documents"), order=3)
+    return rows.withColumns({c: F.round(c, 4) for c in ("log_score", "mean_log_score")})
+
+
 @query("op9_stupid_backoff", backoff.SQL)
 def op9_stupid_backoff(spark, folder):
     rows = backoff.score(table(spark, folder, "documents"))
