@@ -78,3 +78,40 @@ def test_latest_run_ties(spark):
     got = {r.k: r.v for r in S.latest_run(df, ["k"], "ts", tie=["v"]).collect()}
     assert got == {"a": 6, "b": 2}
     assert [r.v for r in S.latest_run(df, ["k"], "ts", date=1, tie=["v"]).orderBy("k").collect()] == [1, 2]
+
+
+def test_numbers_follow_any_order(spark):
+    df = spark.createDataFrame([(i, i * 7919 % 100) for i in range(1000)], "k int, score int")
+    rows = S.numbered(df, [F.desc("score"), F.asc("k")], "place", partitions=7).orderBy("place").collect()
+    assert [r.place for r in rows] == list(range(1000))
+    assert [(r.score, r.k) for r in rows] == sorted(((i * 7919 % 100, i) for i in range(1000)), key=lambda x: (-x[0], x[1]))
+
+
+def test_only_keys_are_sorted(spark):
+    wide = spark.range(500).withColumn("text", F.lit("x"))
+    text = S.dense_index(wide, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in text and "Sort" not in text and text.count("Join") == 1
+    nothing = S.dense_index(wide.where("id < 0"), "id")
+    assert nothing.count() == 0 and nothing.columns == ["id", "text", "idx"]
+
+
+@pytest.mark.parametrize("leaf", [1 << 16, 4])
+def test_samples_by_thresholds(spark, monkeypatch, leaf):
+    monkeypatch.setattr(S, "LEAF_ROWS", leaf)
+    rows = [(i, None if i % 50 == 0 else "hot" if i % 3 else f"g{i % 7}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, g string")
+    got = {(r.g, r.id) for r in S.hash_sample(df, "id", 9, ratio=0.1, by=["g"]).collect()}
+    want = set()
+    for g in {g for _, g in rows}:
+        ids = sorted((k for k, x in rows if x == g), key=lambda k: digest(9, k))
+        want |= {(g, k) for k in ids[: int(len(ids) * 0.1)]}
+    assert got == want
+    few = S.hash_sample(df, "id", 9, n=2, by=["g"]).groupBy("g").count().collect()
+    assert {r["count"] for r in few} == {2}
+
+
+def test_large_first_n_with_a_null_key(spark, monkeypatch):
+    monkeypatch.setattr(S, "TOP_N_LIMIT", 0)
+    df = spark.createDataFrame([(k, "t") for k in [None, 5, 3, 9]], "k int, t string")
+    assert {r.k for r in S.first_n(df, "k", 3).collect()} == {None, 3, 5}
+    assert {r.k for r in S.first_n(df, "k", 1).collect()} == {None}

@@ -17,8 +17,3 @@ def hash_index(seed, size, *keys):
     """Uniform index in [0, size)."""
     number = F.conv(F.substring(hash_order(seed, *keys), 1, 15), 16, 10).cast("long")
     return F.pmod(number, size)
-
-
-def hash_bucket(order):
-    """First three hex digits of a hash order: 4096 even, order-preserving buckets."""
-    return F.conv(F.substring(order, 1, 3), 16, 10).cast("int")

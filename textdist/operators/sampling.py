@@ -1,26 +1,23 @@
 """Order, samples, dense row numbers and batches on a table with a unique key.
 
-Small targets use Spark's bounded top-n. Large ones split the order into buckets,
-count the buckets, keep the whole ones and rank inside a bucket only, so neither
-the driver nor one task ever holds the sample.
+Row numbers come from one sort of the keys alone: range partitions count their rows, a row's number is its
+place in its partition plus the rows before that partition, and wide rows are joined last. Samples find the
+largest hash they keep by counting hash prefixes, so a sample is one filter; neither the driver nor one task
+ever holds it.
 """
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from textdist.functions.keys import hash_bucket, hash_index, hash_order
+from textdist.functions.keys import hash_index, hash_order
 from textdist.functions.text import MAX_BIO_WORDS, first_words
+from textdist.operators.joins import lookup_join
+from textdist.session import cut_lineage
 
 TOP_N_LIMIT = 20_000
-ONE_BUCKET_ROWS = 4096
-BUCKETS = 1024
-SPLIT_SAMPLE = 8192
+#: hex digits of one counting step, and rows of a group that are sorted in one place
+DIGITS, LEAF_ROWS = 3, 1 << 16
+PLACE_BITS = 33
 MAX_TITLE_WORDS = 10
 
 
@@ -30,88 +27,86 @@ def seeded_shuffle(df, key, seed):
 
 def hash_sample(df, key, seed, n=None, ratio=None, by=()):
     """Seeded sample without replacement: the first ``n`` rows, or the share ``ratio``
-    rounded down, of each ``by`` group in hash order."""
+    rounded down, of each ``by`` group in hash order. A null group is a group."""
     if (n is None) == (ratio is None):
         raise ValueError("give either n or ratio")
     by = list(by)
     order = hash_order(seed, F.col(key))
     if not by and n is not None and n <= TOP_N_LIMIT:
         return df.orderBy(order, key).limit(n)
-
-    keyed = df.withColumn("_h", order).withColumn("_b", hash_bucket(F.col("_h")))
-    running = Window.partitionBy(*by).orderBy("_b") if by else Window.orderBy("_b")
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    target = F.lit(n) if ratio is None else F.floor(F.sum("_c").over(whole) * F.lit(ratio))
-    # At most 4096 rows per group from here to the join.
-    cuts = (
-        keyed.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
-        .withColumn("_upto", F.sum("_c").over(running))
-        .withColumn("_left", target - (F.col("_upto") - F.col("_c")))
-        .where("_left > 0")
-        .select(*by, "_b", F.when(F.col("_left") < F.col("_c"), F.col("_left")).alias("_left"))
-    )
-    cut = keyed.join(cuts, by + ["_b"])
-    inside = Window.partitionBy(*by, "_b").orderBy("_h", key)
-    kept = cut.where("_left is null").unionByName(
-        cut.where("_left is not null").withColumn("_r", F.row_number().over(inside)).where("_r <= _left").drop("_r")
-    )
-    return kept.select(*df.columns)
-
-
-def _splits(df, key, buckets):
-    """At most ``buckets`` ascending key values that cut the table into near-even ranges."""
-    if isinstance(df.schema[key].dataType, T.NumericType):
-        marks = [i / buckets for i in range(1, buckets)]
-        found = df.agg(F.percentile_approx(key, marks, 10 * buckets)).first()[0] or []
-    else:
-        rows = df.select(key).orderBy(F.xxhash64(key)).limit(SPLIT_SAMPLE).collect()
-        values = sorted(r[0] for r in rows)
-        step = max(1, len(values) // buckets)
-        found = values[step::step]
-    return sorted(set(found))
-
-
-def _with_range(df, key, splits, out="_b"):
-    """Add the number of splits at or below the key. Any ascending splits give a correct order."""
-    if not splits:
-        return df.withColumn(out, F.lit(0))
-    if isinstance(df.schema[key].dataType, T.NumericType):
-        edges = [-math.inf, *sorted({float(v) for v in splits}), math.inf]
-        cut = Bucketizer(splits=edges, inputCol="_d", outputCol=out).transform(df.withColumn("_d", F.col(key).cast("double")))
-        return cut.withColumn(out, F.col(out).cast("int")).drop("_d")
-    edges = np.array(splits, dtype=object)
-
-    @F.pandas_udf("int")
-    def place(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, keys.to_numpy(dtype=object), side="right").astype("int32"))
-
-    return df.withColumn(out, place(F.col(key)))
-
-
-def dense_index(df, key, out="idx", bucket_rows=ONE_BUCKET_ROWS):
-    """Add 0, 1, 2, … in key order. Ranges are numbered in parallel and shifted by the
-    rows before them."""
-    total = df.count()
-    if total <= bucket_rows:
-        return df.withColumn(out, F.row_number().over(Window.orderBy(key)).cast("long") - 1)
-    buckets = min(BUCKETS, -(-total // bucket_rows) * 2)
-    splits = _splits(df, key, buckets)
-    cut = _with_range(df, key, splits)
-    counts = {r["_b"]: r["count"] for r in cut.groupBy("_b").count().collect()}
-    offset, offsets = 0, []
-    for b in range(len(splits) + 1):
-        offsets.append(offset)
-        offset += counts.get(b, 0)
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy(key))
-    shift = F.element_at(F.lit(offsets).cast("array<bigint>"), F.col("_b") + 1)
-    return cut.withColumn(out, rank.cast("long") - 1 + shift).drop("_b")
+    target = F.lit(n).cast("long") if ratio is None else F.floor(F.col("_n") * F.lit(ratio))
+    keyed = df.withColumn("_g", F.struct(*by, F.lit(0).alias("_0"))).withColumn("_h", order)
+    last = last_hashes(keyed.select("_g", "_h"), target)
+    if not by:
+        found = last.first()
+        return df.where(order <= found["_last"]) if found else df.limit(0)
+    return lookup_join(keyed, cut_lineage(last), ["_g"], F.col("_h")).where("_h <= _last").select(*df.columns)
+
+
+def last_hashes(hashes, target):
+    """Rows (_g, _last): the ``target``-th least hash of each group, the largest if it has fewer; ``target`` is a column of the
+    group's row count ``_n``. Groups of target 0 are left out. Counts of hash prefixes narrow the place down, digit by digit,
+    until a group's candidates are at most ``LEAF_ROWS``."""
+    hashes = cut_lineage(hashes)
+    found, width = hashes.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")), 0
+    found = found.select("_g", F.lit("").alias("_prefix"), F.least(target, F.col("_n")).alias("_left"), F.col("_n").alias("_c"))
+    found = cut_lineage(found.where("_left > 0"))
+    while (found.agg(F.max("_c")).first()[0] or 0) > LEAF_ROWS and width < 30:
+        inside = _with_prefix(hashes, found, width)
+        width += DIGITS
+        # at most 16 ** DIGITS rows per group from here
+        counts = inside.groupBy("_g", "_left", F.substring("_h", 1, width).alias("_prefix")).agg(F.count(F.lit(1)).alias("_c"))
+        upto = F.sum("_c").over(Window.partitionBy("_g").orderBy("_prefix"))
+        found = counts.withColumn("_left", F.col("_left") - upto + F.col("_c")).where("_left > 0 AND _left <= _c")
+        found = cut_lineage(found.select("_g", "_prefix", "_left", "_c"))
+    inside = _with_prefix(hashes, found, width)
+    return inside.groupBy("_g").agg(F.array_sort(F.collect_list("_h")).alias("_all"), F.first("_left").alias("_left")).select(
+        "_g", F.expr("_all[CAST(_left - 1 AS INT)]").alias("_last"))
+
+
+def _with_prefix(hashes, found, width):
+    """The hashes of each group under its prefix. Every group has one row in ``found``."""
+    kept = lookup_join(hashes, found.select("_g", "_prefix", "_left"), ["_g"], F.col("_h"))
+    return kept.where(F.substring("_h", 1, width) == F.col("_prefix")) if width else kept
+
+
+def numbered(df, order, out="idx", partitions=None):
+    """Rows with 0, 1, 2, … in ``order``, written to the shared folder. One sort: range partitions number their
+    rows in place, and only their counts (a row for each partition) reach the driver."""
+    spark = df.sparkSession
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    placed = cut_lineage(sorted_rows.withColumn("_m", F.monotonically_increasing_id()))
+    counts = {r["_p"]: r["count"] for r in placed.groupBy(F.shiftright("_m", PLACE_BITS).cast("int").alias("_p")).count().collect()}
+    before, offsets = 0, []
+    for p in range(max(counts, default=-1) + 1):
+        offsets.append(before)
+        before += counts.get(p, 0)
+    shift = F.element_at(F.lit(offsets or [0]).cast("array<bigint>"), F.shiftright("_m", PLACE_BITS).cast("int") + 1)
+    place = F.col("_m").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return placed.withColumn(out, place + shift).drop("_m")
+
+
+def dense_index(df, key, out="idx", bucket_rows=None):
+    """Add 0, 1, 2, … in order of a unique key. Only keys are sorted; wide rows join their number last.
+    ``bucket_rows`` is the rows of a range; by default there are as many ranges as shuffle partitions."""
+    partitions = None if bucket_rows is None else max(1, -(-df.count() // bucket_rows))
+    index = numbered(df.select(key), [F.col(key)], out, partitions)
+    if df.columns == [key]:
+        return index
+    index = index.withColumnRenamed(key, "_key")
+    return df.join(index, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def first_n(df, key, n):
-    """First ``n`` rows in key order; what exists when the table is shorter."""
+    """First ``n`` rows in key order; what exists when the table is shorter. A large ``n`` finds the key of row ``n`` first: one filter."""
     if n <= TOP_N_LIMIT:
         return df.orderBy(key).limit(n)
-    return dense_index(df, key, "_i").where(F.col("_i") < n).drop("_i")
+    last = numbered(df.select(key), [F.col(key)], "_i").where(F.col("_i") == n - 1).first()
+    if last is None:
+        return df
+    none = F.col(key).isNull()
+    return df.where(none if last[key] is None else none | (F.col(key) <= F.lit(last[key])))
 
 
 def equal_length(p, q, key):
@@ -126,12 +121,9 @@ def equal_length(p, q, key):
 
 def draw_with_replacement(draws, draw_key, items, item_key, seed, value):
     """One item per draw row, uniform and independent of partitioning."""
-    indexed = dense_index(items, item_key, "_i").select("_i", value)
-    size = items.count()
-    return (
-        draws.withColumn("_i", hash_index(seed, F.lit(size), F.col(draw_key)))
-        .join(indexed, "_i").drop("_i")
-    )
+    indexed = dense_index(items.select(item_key, value), item_key, "_i").select("_i", value)
+    place = hash_index(seed, F.lit(items.count()), F.col(draw_key))
+    return lookup_join(draws.withColumn("_i", place), indexed, ["_i"], F.col(draw_key)).drop("_i")
 
 
 def draw_from_values(draws, draw_key, values, seed, out):
@@ -143,20 +135,20 @@ def draw_from_values(draws, draw_key, values, seed, out):
 def in_context_examples(samples, sample_key, bios, bio_key, n_icl, seed,
                         max_title_words=MAX_TITLE_WORDS, max_content_words=MAX_BIO_WORDS):
     """``n_icl`` biographies per sample, drawn with replacement and cut to size, in slot order."""
-    cut = dense_index(
-        bios.select(
-            bio_key,
-            first_words(F.col("title"), max_title_words).alias("title"),
-            first_words(F.col("content"), max_content_words).alias("content"),
-        ),
-        bio_key, "_i",
-    ).select("_i", "title", "content")
-    size = bios.count()
+    index = dense_index(bios.select(bio_key), bio_key, "_i")
+    size = index.count()
     slots = samples.select(
         sample_key, F.explode(F.sequence(F.lit(0), F.lit(n_icl - 1))).alias("_slot")
     ).withColumn("_i", hash_index(seed, F.lit(size), F.col(sample_key), F.col("_slot")))
+    # Keys first: a text moves only to the samples that drew it.
+    drawn = lookup_join(slots, index, ["_i"], F.xxhash64(sample_key, "_slot")).select(sample_key, "_slot", bio_key)
+    cut = bios.select(
+        bio_key,
+        first_words(F.col("title"), max_title_words).alias("title"),
+        first_words(F.col("content"), max_content_words).alias("content"),
+    )
     # n_icl entries per group, fixed by the caller.
-    picked = slots.join(cut, "_i").groupBy(sample_key).agg(
+    picked = lookup_join(drawn, cut, [bio_key], F.xxhash64(sample_key, "_slot")).groupBy(sample_key).agg(
         F.array_sort(F.collect_list(F.struct("_slot", "title", "content"))).alias("_e")
     )
     return picked.select(
