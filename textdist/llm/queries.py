@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from textdist.llm import backoff, decontam, jaccard, jaccard_sql, langid, licences, sharding, suffixes, warc
+from textdist.llm import backoff, chat, decontam, jaccard, jaccard_sql, langid, licences, periodic, resample, sharding, suffixes, warc
 from textdist.session import scratch_path
 
 QUERIES, SQL = {}, {}
@@ -92,3 +92,20 @@ def op9_stupid_backoff_order3(spark, folder):
 def op9_stupid_backoff(spark, folder):
     rows = backoff.score(table(spark, folder, "documents"))
     return rows.withColumns({c: F.round(c, 4) for c in ("log_score", "mean_log_score")})
+
+
+@query("op11_importance_resampling", resample.SQL)
+def op11_importance_resampling(spark, folder):
+    return resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark, folder):
+    return periodic.digests(table(spark, folder, "documents"), tails=periodic.planted_tails)
+
+
+@query("op13_chat_formatting", chat.SQL)
+def op13_chat_formatting(spark, folder):
+    hostile = spark.createDataFrame([(-1, 0, "user", chat.HOSTILE), (-1, 1, "assistant", chat.HOSTILE)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(rows.unionByName(hostile))
