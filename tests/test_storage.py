@@ -15,6 +15,9 @@ def test_jsonl(spark, tmp_path):
     for name, lines in {"web.jsonl": ["one", "two", "three"], "web.train.jsonl": ["a\nb"], "web.test.jsonl": ["c"]}.items():
         (tmp_path / name).write_text("".join(json.dumps({"text": t, "id": 1}) + "\n" for t in lines))
     assert [r.text for r in tables.read_jsonl(spark, str(tmp_path), "web", limit=2, order="text").collect()] == ["one", "three"]
+    assert [r.text for r in tables.read_jsonl(spark, str(tmp_path), "web", limit=2, range_bytes=7).collect()] == ["one", "two"]
+    rows = tables.read_jsonl(spark, str(tmp_path), "web", ["train", "test"], limit=1).collect()
+    assert {(r.split, r.text) for r in rows} == {("train", "a\nb"), ("test", "c")}
     rows = tables.read_jsonl(spark, str(tmp_path), "web", ["train", "test"]).collect()
     assert {(r.split, r.text) for r in rows} == {("train", "a\nb"), ("test", "c")}
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from textdist.functions.text import word_count
-from textdist.sources import cache, tables
+from textdist.sources import cache, ranges, tables
 from textdist.registry.base import query, table
 from textdist.session import scratch_path
 
@@ -23,6 +23,15 @@ def jsonl(spark, d):
     return tables.read_jsonl(spark, folder, "web", list(tables.SPLITS)).select("split", F.md5("text").alias("digest"))
 
 
+@query("jsonl_first_lines", "SELECT md5(text) AS digest FROM (SELECT text FROM documents ORDER BY doc_id, text LIMIT 400)")
+def jsonl_first_lines(spark, d):
+    """The first 400 lines as stored, of files of which the first ones hold them."""
+    folder = scratch_path(spark, "jsonl")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").write.json(f"{folder}/web.jsonl")
+    return tables.read_jsonl(spark, folder, "web", limit=400, range_bytes=1 << 20).select(F.md5("text").alias("digest"))
+
+
 @query("columnar_roundtrip", "SELECT doc_id, md5(text) AS digest, lang FROM documents")
 def columnar(spark, d):
     path = scratch_path(spark, "table")
@@ -41,17 +50,21 @@ def split_writer(spark, d):
 @query("binding_documents", """SELECT c_name AS "itemLabel", c_mktsegment AS "wikiTitle" FROM customer
   UNION ALL SELECT 'second ' || c_custkey, NULL FROM customer""")
 def bindings(spark, d):
+    """Documents of up to 100 000 customers, several to a file, read by ranges that begin anywhere in them."""
     value = lambda c: F.struct(c.alias("value"))
-    nothing = F.lit(None).cast("struct<value:string>")
-    document = F.to_json(F.struct(F.struct(F.array(
-        F.struct(value(F.col("c_name")).alias("itemLabel"), value(F.col("c_mktsegment")).alias("wikiTitle")),
-        F.struct(value(F.concat(F.lit("second "), F.col("c_custkey"))).alias("itemLabel"), nothing.alias("wikiTitle")),
-    ).alias("bindings")).alias("results")))
+    binding = lambda **fields: F.concat(F.to_json(F.struct(*[value(c).alias(f) for f, c in fields.items()])), F.lit(","))
+    first = binding(itemLabel=F.col("c_name"), wikiTitle=F.col("c_mktsegment"))
+    second = binding(itemLabel=F.concat(F.lit("second "), F.col("c_custkey")))
+    customers = table(spark, d, "customer").withColumn("document", F.expr("c_custkey div 100000"))
+    records = customers.select("document", F.lit(1).alias("part"), F.concat_ws("\n", first, second).alias("value"))
+    ends = customers.groupBy("document").agg(F.count("*").alias("n")).select("document", F.explode(F.array(
+        F.struct(F.lit(0).alias("part"), F.format_string('{"head": {"bindings": [{"n": %d}]}, "results": {"bindings": [', "n").alias("value")),
+        F.struct(F.lit(2).alias("part"), F.lit("null]}}").alias("value")),
+    )).alias("end")).select("document", "end.*")
     path = scratch_path(spark, "bindings")
-    table(spark, d, "customer").select(document.alias("value")).write.text(path)
-    fields = ("itemLabel", "wikiTitle")
-    parsed = spark.read.text(path).select(F.from_json("value", tables.bindings_schema(fields)).alias("d")).select("d.results")
-    return tables.explode_bindings(parsed, "results", fields)
+    records.unionByName(ends).repartition("document").sortWithinPartitions("document", "part").select("value").write.text(path)
+    size = sum(n for _, n in ranges.files_of(spark, path))
+    return tables.read_bindings(spark, path, ("itemLabel", "wikiTitle"), range_bytes=min(ranges.RANGE_BYTES, max(size // 16, 4096)))
 
 
 @query("feature_cache", "SELECT doc_id, len(string_split(text, ' ')) AS words FROM documents")

@@ -18,7 +18,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RANGE_BYTES = 64 << 20
@@ -404,11 +403,6 @@ def nested_records(spark, path, at, range_bytes=RANGE_BYTES):
     return over(spark, "read_records", [(*r, states.get((r[0], r[1]), [])) for r in ranges], at)
 
 
-def parsed(records, fields, schema):
-    """Columns of JSON texts through Spark's own parser."""
-    return records.select(F.from_json("record", schema).alias("_b")).select(*[F.col(f"_b.{f}.value").alias(f) for f in fields])
-
-
 MODES = {
     "count_lines": (count_lines, "location string, start long, lines long"),
     "read_lines": (read_lines, "number long, line string"),

@@ -3,7 +3,8 @@
 from functools import reduce
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from textdist.sources import ranges
 
 TEXT_SCHEMA = "text string"
 SPLITS = ("train", "valid", "test")
@@ -11,14 +12,17 @@ SPLITS = ("train", "valid", "test")
 BINDING_FIELDS = ("itemLabel", "wikiTitle", "genderLabel", "birthDate", "occupations")
 
 
-def read_jsonl(spark, folder, name, split=None, limit=None, order=None):
+def read_jsonl(spark, folder, name, split=None, limit=None, order=None, range_bytes=ranges.RANGE_BYTES):
     """Field ``text`` of ``{name}.jsonl`` or ``{name}.{split}.jsonl``. ``split`` may be a list:
-    all files are read at once and tagged. ``limit`` keeps the first lines by ``order``, a field of the lines or
-    "text": lines have no order of their own once files are read in parts."""
-    if limit is not None and order is None:
-        raise ValueError("a limit needs an order")
+    all files are read at once and tagged. ``limit`` keeps the first lines by ``order``, a field of the lines or "text"; without an order
+    it keeps the first lines of each split as stored, and reads only the byte ranges that hold them. There a blank line counts as a
+    line but gives no row."""
     parts = [None] if split is None else [split] if isinstance(split, str) else list(split)
     paths = [f"{folder}/{name}.jsonl" if s is None else f"{folder}/{name}.{s}.jsonl" for s in parts]
+    if limit is not None and order is None:
+        found = [ranges.lines(spark, p, limit, range_bytes).withColumn("split", F.lit(s)) for p, s in zip(paths, parts)]
+        df = reduce(lambda a, b: a.unionByName(b), found).where(F.trim("line") != "")
+        return df.select(F.from_json("line", TEXT_SCHEMA)["text"].alias("text"), *([] if split is None else ["split"]))
     more = "" if order in (None, "text") else f", {order} long"
     df = spark.read.schema(TEXT_SCHEMA + more).json(paths)
     if split is not None:
@@ -28,23 +32,13 @@ def read_jsonl(spark, folder, name, split=None, limit=None, order=None):
     return df.drop(order) if more else df
 
 
-def read_bindings(spark, path, fields=BINDING_FIELDS):
-    """Nested query results, ``results.bindings[*].{field}.value``, as one row per binding.
-    A field a binding lacks is null."""
-    value = T.StructType([T.StructField("value", T.StringType())])
-    binding = T.StructType([T.StructField(f, value) for f in fields])
-    schema = T.StructType([T.StructField("results", T.StructType([T.StructField("bindings", T.ArrayType(binding))]))])
-    return explode_bindings(spark.read.schema(schema).json(path, multiLine=True), "results", fields)
-
-
-def explode_bindings(df, results, fields):
-    return df.select(F.explode(f"{results}.bindings").alias("_b")).select(*[F.col(f"_b.{f}.value").alias(f) for f in fields])
-
-
-def bindings_schema(fields):
-    """Schema of one result document, for ``from_json``."""
-    inside = ",".join(f"`{f}`:struct<value:string>" for f in fields)
-    return f"results struct<bindings:array<struct<{inside}>>>"
+def read_bindings(spark, path, fields=BINDING_FIELDS, at=("results", "bindings"), range_bytes=ranges.RANGE_BYTES):
+    """Nested query results, ``results.bindings[*].{field}.value``, as one row per binding. A document of any size is
+    read by ranges of bytes. A field a binding lacks is null."""
+    inside = ", ".join(f"`{f}` struct<value: string>" for f in fields)
+    binding = F.from_json("record", inside)
+    rows = ranges.nested_records(spark, path, at, range_bytes).select(binding.alias("_b"))
+    return rows.select(*[F.col(f"_b.`{f}`.value").alias(f) for f in fields])
 
 
 def read_table(spark, path, schema=None):
