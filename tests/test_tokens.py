@@ -19,6 +19,18 @@ def test_collate(spark):
     assert [r.attention_mask for r in rows] == [[0] * 5 + [1] * 3, [0] * 3 + [1] * 5]
 
 
+def test_collate_fills_token_types(spark):
+    df = spark.createDataFrame([(0, [1, 5], [1, 1]), (1, [1, 5, 6], [0, 1, 1])], "id bigint, ids array<int>, kinds array<int>")
+    rows = K.collate(df, "id", "ids", 2, multiple=4, token_types="kinds").orderBy("id").collect()
+    assert [r.kinds for r in rows] == [[0, 0, 1, 1], [0, 0, 1, 1]] and [len(r.ids) for r in rows] == [4, 4]
+
+
+def test_decoding_keeps_nulls(spark):
+    vocab = spark.createDataFrame([("the", 3)], "token string, token_id int")
+    df = spark.createDataFrame([(None, [1, 3, 2]), (1, None), (2, [1, 2])], "id bigint, ids array<int>")
+    assert {r.id: r.text for r in K.decode_with_vocabulary(df, "id", "ids", vocab).collect()} == {None: "the", 1: None, 2: ""}
+
+
 def test_pad_right(spark):
     rows = K.pad_right(ids(spark, [[1], [1, 2, 3], [4]]), "id", "ids", 2).orderBy("id").collect()
     assert [r.ids for r in rows] == [[1, 0, 0], [1, 2, 3], [4]] and rows[0].attention_mask == [1, 0, 0]

@@ -30,14 +30,15 @@ def encode_with_vocabulary(df, key, text, vocab, out="ids", unknown=0):
 
 
 def decode_with_vocabulary(df, key, ids, vocab, out="text", special_ids=(BOS_ID, EOS_ID), separator=" ", unknown="<unk>"):
-    """Ids to text through a ``(token, token_id)`` table, special ids dropped first; ids it lacks become ``unknown``."""
+    """Ids to text through a ``(token, token_id)`` table, special ids dropped first; ids it lacks become ``unknown``. Null ids have a null text."""
     plain = F.filter(ids, lambda i: ~i.isin(*special_ids)) if special_ids else F.col(ids)
     dealt = df.repartition(key)
     placed = dealt.select(key, F.posexplode(plain).alias("_p", "token_id"))
     found = lookup_join(placed, vocab.select("token", "token_id"), ["token_id"], F.xxhash64(key, "_p"), "left")
     text = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("token", F.lit(unknown)).alias("token")))).alias("_e"))
-    decoded = text.select(key, F.array_join(F.transform("_e", lambda e: e["token"]), separator).alias(out))
-    return dealt.join(decoded, key, "left").na.fill("", [out])
+    decoded = text.select(F.col(key).alias("_key"), F.array_join(F.transform("_e", lambda e: e["token"]), separator).alias("_text"))
+    rows = dealt.join(decoded, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return rows.withColumn(out, F.when(F.col(ids).isNotNull(), F.coalesce("_text", F.lit("")))).drop("_key", "_text")
 
 
 def model_input(ids, max_length, bos=BOS_ID, in_context=False):
@@ -48,18 +49,20 @@ def model_input(ids, max_length, bos=BOS_ID, in_context=False):
     return full, F.array_repeat(F.lit(0), F.size(full))
 
 
-def _padded(df, ids, batch, side, pad, multiple):
+def _padded(df, ids, batch, side, pad, multiple, token_types=None):
     longest = F.max(F.size(ids)).over(Window.partitionBy(batch))
     width = F.ceil(longest / multiple) * multiple
     gap = (F.col("_width") - F.size(ids)).cast("int")
     fill = lambda v: F.array_repeat(F.lit(v).cast("int"), gap)
     ones = F.array_repeat(F.lit(1), F.size(ids))
     wide = df.withColumn("_width", width)
-    if side == "left":
-        return wide.withColumn("attention_mask", F.concat(fill(0), ones)).withColumn(ids, F.concat(fill(pad), F.col(ids))).drop("_width")
-    if side == "right":
-        return wide.withColumn("attention_mask", F.concat(ones, fill(0))).withColumn(ids, F.concat(F.col(ids), fill(pad))).drop("_width")
-    raise ValueError(f"side must be 'left' or 'right', got {side!r}")
+    if side not in ("left", "right"):
+        raise ValueError(f"side must be 'left' or 'right', got {side!r}")
+    place = (lambda gap, kept: F.concat(gap, kept)) if side == "left" else (lambda gap, kept: F.concat(kept, gap))
+    filled = {"attention_mask": place(fill(0), ones), ids: place(fill(pad), F.col(ids))}
+    if token_types is not None:
+        filled[token_types] = place(fill(0), F.col(token_types))
+    return wide.withColumns(filled).drop("_width")
 
 
 def batch_width(df, ids, batch, out="batch_width"):
@@ -72,10 +75,10 @@ def pad_right(df, key, ids, batch_size, pad=0):
     return _padded(with_batches(df, key, batch_size), ids, "batch", "right", pad, 1)
 
 
-def collate(df, key, ids, batch_size, pad=PAD_ID, multiple=PAD_MULTIPLE):
+def collate(df, key, ids, batch_size, pad=PAD_ID, multiple=PAD_MULTIPLE, token_types=None):
     """Batches in key order, arrays filled in front to the batch maximum rounded up to a
-    multiple, with a mask."""
-    return _padded(with_batches(df, key, batch_size), ids, "batch", "left", pad, multiple or 1)
+    multiple, with a mask. ``token_types`` names an array column as long as the ids, filled with zeros."""
+    return _padded(with_batches(df, key, batch_size), ids, "batch", "left", pad, multiple or 1, token_types)
 
 
 def drop_prompt(ids, prompt_len):

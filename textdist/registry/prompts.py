@@ -105,10 +105,12 @@ def pad_right(spark, d):
 
 @query("collate_left", f"""WITH {BATCHED}, f AS (SELECT batch, CAST(ceil(w / 8.0) * 8 AS BIGINT) AS w FROM m)
   SELECT doc_id, batch, array_to_string(list_transform(range(w - len(ids)), lambda i: 2) || ids, ',') AS ids,
-  array_to_string(list_transform(range(w - len(ids)), lambda i: 0) || list_transform(ids, lambda i: 1), ',') AS mask FROM b JOIN f USING (batch)""")
+  array_to_string(list_transform(range(w - len(ids)), lambda i: 0) || list_transform(ids, lambda i: 1), ',') AS mask,
+  array_to_string(list_transform(range(w - len(ids)), lambda i: 0) || list_transform(ids, lambda i: i % 2), ',') AS kinds FROM b JOIN f USING (batch)""")
 def collate(spark, d):
-    return K.collate(ids(spark, d), "doc_id", "ids", 16).select(
-        "doc_id", "batch", joined("ids").alias("ids"), joined("attention_mask").alias("mask"))
+    rows = ids(spark, d).withColumn("kinds", F.transform("ids", lambda i: i % 2))
+    return K.collate(rows, "doc_id", "ids", 16, token_types="kinds").select(
+        "doc_id", "batch", joined("ids").alias("ids"), joined("attention_mask").alias("mask"), joined("kinds").alias("kinds"))
 
 
 @query("drop_prompt", f"SELECT doc_id, array_to_string(ids[11:], ',') AS generated FROM ({IDS})")
