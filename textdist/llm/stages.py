@@ -28,10 +28,12 @@ def quality_rules(spark, docs, folder):
 
 
 def near_duplicates(spark, docs, folder):
-    """One document, that of the least id, of each component of near copies."""
+    """One document, that of the least id, of each component of near copies. Of several rows of that id the one of the least text hash
+    stays, so a task that runs again keeps the same."""
     keep = jaccard.classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    row = F.struct(F.xxhash64("text").alias("_h"), *COLUMNS[1:])
+    one = docs.join(keep, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("_r"))
+    return one.select("doc_id", *[F.col(f"_r.{c}").alias(c) for c in COLUMNS[1:]]).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def repeated_passages(spark, docs, folder):
