@@ -27,7 +27,9 @@ from textdist.llm.bytesbatch import SPACE, flat, mix, packed, slices, spans, sum
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 WINDOW = 5
-CACHE_WORDS = 400_000
+#: bytes of a task's cache of words, their objects included, and of the texts worked at once
+CACHE_BYTES, WORD_BYTES = 48 << 20, 160
+SLICE_BYTES = 1 << 20
 
 #: most byte share, least relative entropy
 BANDS = {
@@ -70,11 +72,11 @@ class Pieces:
         self.forget()
 
     def forget(self):
-        self.known, self.ids, self.bounds = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.known, self.ids, self.bounds, self.held = {}, np.zeros(0, np.int32), np.zeros(1, np.int64), 0
 
     def rows(self, words):
         """Row of each word in the ragged array (ids, bounds) of known words."""
-        if len(self.known) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.forget()
         known = self.known
         new = [w for w in words if w not in known]
@@ -82,6 +84,7 @@ class Pieces:
             made = self.model.encode([w.decode("utf-8", "replace") for w in new], num_threads=1)
             known.update(zip(new, range(len(known), len(known) + len(new))))
             sizes = np.fromiter(map(len, made), np.int64, len(made))
+            self.held += sum(map(len, new)) + WORD_BYTES * len(new) + 4 * int(sizes.sum())
             self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(made), np.int32, int(sizes.sum()))])
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
@@ -192,22 +195,28 @@ def measure(data, offs, langs, pieces, bands, min_words, max_repeat, min_tokens)
 
 def measures(df, model, key="doc_id", text="text", lang=None, carry=(), bands: Mapping = BANDS, min_words=10, max_repeat=20, min_tokens=50):
     """Rows (key, text_hash, base counts, measures, band, inside: within the fixed limits), one per row of ``df``; columns in ``carry``
-    come along as _c0, _c1 and so on, so no join is needed to keep or drop rows."""
+    come along as _c0, _c1 and so on, so no join is needed to keep or drop rows. A text that is measured and carried goes to Python once."""
     bands = dict(bands)
+    once = df.schema[text].dataType.typeName() == "string"
     held = ["text_hash", *(f"_c{i}" for i in range(len(carry)))]
     kept = df.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"), (F.col(lang) if lang else F.lit(None)).cast("string").alias("_l"),
-                     F.xxhash64(F.col(text).cast("string")).alias("text_hash"), *[F.col(c).alias(h) for c, h in zip(carry, held[1:])])
+                     F.xxhash64(F.col(text).cast("string")).alias("text_hash"), *[F.col(c).alias(h) for c, h in zip(carry, held[1:]) if not (once and c == text)])
+    source = {h: "_t" if once and c == text else h for c, h in zip([None, *carry], held)}
     types = dict(kept.dtypes)
+    types.update({h: types[c] for h, c in source.items()})
     schema = ", ".join(f"{c} {types[c]}" for c in ["_k", *held]) + f", {BASE}, {MEASURES}"
     names = ["_k", *held, *(c.split()[0] for c in f"{BASE}, {MEASURES}".split(", "))]
 
     def run(batches):
         pieces = Pieces(model)
         for batch in batches:
-            for part in slices(batch, "_t"):
+            for part in slices(batch, "_t", SLICE_BYTES):
                 data, offs = flat(part.column("_t"))
                 made = measure(data, offs, part.column("_l").to_pylist(), pieces, bands, min_words, max_repeat, min_tokens)
-                yield pa.RecordBatch.from_arrays([part.column("_k"), *(part.column(h) for h in held), *map(pa.array, made)], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("_k"), *(part.column(source[h]) for h in held), *map(pa.array, made)], names=names)
+        # a worker serves later stages too: what Arrow holds in reserve goes back
+        del pieces
+        pa.default_memory_pool().release_unused()
 
     return kept.mapInArrow(run, schema).withColumnRenamed("_k", key)
 
