@@ -123,7 +123,8 @@ def _unzip(x, n, kind):
 
 
 def _heads(docs, frequent, buckets, size, num, den):
-    """Heads of all sets, dealt by shingle: rows (bucket, tokens, docs, sizes), one per slice and bucket.
+    """Heads of all sets, dealt by shingle: rows (bucket, tokens, docs, sizes, places), one per slice and bucket; a place is
+    a shingle's position in its ordered set.
 
     A slice gives equal sets once, under their least id there, so the least id of a whole class always has its head."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -132,7 +133,7 @@ def _heads(docs, frequent, buckets, size, num, den):
         often = shared.value
         for batch in batches:
             for part in slices(batch, "_t", 8 << 20):
-                ids, seen, tokens, own, ns = part.column("_k").to_pylist(), set(), [], [], []
+                ids, seen, tokens, own, ns, places = part.column("_k").to_pylist(), set(), [], [], [], []
                 for k, s in sorted(((k, s) for k, s in zip(ids, _sets(part, size)) if k is not None), key=lambda x: x[0]):
                     n = len(s)
                     if not n or (sig := tuple(_signature(s))) in seen:
@@ -146,28 +147,30 @@ def _heads(docs, frequent, buckets, size, num, den):
                     tokens.append(head)
                     own.append(np.full(len(head), k, np.int64))
                     ns.append(np.full(len(head), n, np.int32))
+                    places.append(np.arange(len(head), dtype=np.int32))
                 if not tokens:
                     continue
-                tokens, own, ns = map(np.concatenate, (tokens, own, ns))
+                tokens, own, ns, places = map(np.concatenate, (tokens, own, ns, places))
                 bucket = (tokens % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 some = [b for b in range(buckets) if cut[b + 1] > cut[b]]
                 at = [order[cut[b] : cut[b + 1]] for b in some]
-                cols = [[tokens[i].tobytes() for i in at], [_zip(np.diff(own[i], prepend=0)) for i in at], [_zip(ns[i]) for i in at]]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["bucket", "tokens", "docs", "sizes"])
+                cols = [[tokens[i].tobytes() for i in at], [_zip(np.diff(own[i], prepend=0)) for i in at], [_zip(ns[i]) for i in at], [_zip(places[i]) for i in at]]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["bucket", "tokens", "docs", "sizes", "places"])
 
-    return docs.mapInArrow(run, "bucket int, tokens binary, docs binary, sizes binary")
+    return docs.mapInArrow(run, "bucket int, tokens binary, docs binary, sizes binary, places binary")
 
 
 def _shared_heads(batches):
-    """Entries (token, doc, n) of shingles in the heads of two or more ids."""
-    tokens, own, ns = [], [], []
+    """Entries (token, doc, n, place) of shingles in the heads of two or more ids."""
+    tokens, own, ns, places = [], [], [], []
     for batch in batches:
-        for t, d, n in zip(*(batch.column(c).to_pylist() for c in ("tokens", "docs", "sizes"))):
+        for t, d, n, p in zip(*(batch.column(c).to_pylist() for c in ("tokens", "docs", "sizes", "places"))):
             tokens.append(np.frombuffer(t, np.uint64))
             own.append(np.cumsum(_unzip(d, len(tokens[-1]), np.int64)))
             ns.append(_unzip(n, len(tokens[-1]), np.int32))
+            places.append(_unzip(p, len(tokens[-1]), np.int32))
     if not tokens:
         return
     tokens = np.concatenate(tokens)
@@ -178,10 +181,11 @@ def _shared_heads(batches):
     keep[1:] |= same
     keep[:-1] |= same
     order, tokens = order[keep], tokens[keep]
-    own, ns = np.concatenate(own)[order], np.concatenate(ns)[order]
+    own, ns, places = (np.concatenate(v)[order] for v in (own, ns, places))
     for a in range(0, len(tokens), 100_000):
         b = a + 100_000
-        yield pa.RecordBatch.from_arrays([pa.array(tokens[a:b].view(np.int64)), pa.array(own[a:b]), pa.array(ns[a:b].astype(np.int64))], names=["token", "doc", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[a:b].view(np.int64)), pa.array(own[a:b]), pa.array(ns[a:b].astype(np.int64)),
+                                          pa.array(places[a:b].astype(np.int64))], names=["token", "doc", "n", "p"])
 
 
 class Trie:
@@ -365,16 +369,19 @@ def classes(df, key="doc_id", text="text", size=5, num=75, den=100):
     # everything else: pairs between components that share a head and can still reach a link
     buckets = max(8, -(-total * (den - num) // den // HEADS_PER_BUCKET))
     heads = _heads(docs, frequent, buckets, size, num, den).repartitionById(buckets, F.col("bucket"))
-    heads = heads.mapInArrow(_shared_heads, "token long, doc long, n long")
+    heads = heads.mapInArrow(_shared_heads, "token long, doc long, n long, p long")
     heads = heads.join(reps.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").join(parts.withColumnRenamed("v", "doc"), "doc", "left")
-    heads = cut_lineage(heads.select("token", "doc", "n", F.coalesce("c", "doc").alias("c")))
+    heads = cut_lineage(heads.select("token", "doc", "n", "p", F.coalesce("c", "doc").alias("c")))
     mixed = heads.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
     heads = heads.join(mixed, "token", "left_semi")
-    x, y = (heads.select("token", *[F.col(c).alias(c + s) for c in ("doc", "n", "c")]) for s in "xy")
-    met = x.join(y, "token").where(f"docx < docy AND cx <> cy AND {den} * nx >= {num} * ny AND {den} * ny >= {num} * nx")
-    met = met.groupBy(F.col("docx").alias("a"), F.col("docy").alias("b")).agg(F.count_distinct("token").alias("c"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
-    rest = F.greatest(*[F.floor((num * F.col(c) + den - 1) / den) - 1 for c in ("nx", "ny")])
-    pairs = met.where((den + num) * (F.col("c") + rest) >= num * (F.col("nx") + F.col("ny"))).select("a", "b")
+    x, y = (heads.select("token", *[F.col(c).alias(c + s) for c in ("doc", "n", "p", "c")]) for s in "xy")
+    # The first common shingle and all that follows it in the shorter rest must suffice. Later ones that fail this fall away,
+    # so of a pair that links the first ``c`` common shingles stay, and the rests behind the last of them bound what else is common.
+    needed = f"{num} * (nx + ny)"
+    met = x.join(y, "token").where(f"docx < docy AND cx <> cy AND {den + num} * least(nx - px, ny - py) >= {needed}")
+    met = met.groupBy(F.col("docx").alias("a"), F.col("docy").alias("b"), "nx", "ny").agg(
+        F.count_distinct("token").alias("c"), F.max("px").alias("px"), F.max("py").alias("py"))
+    pairs = met.where(f"{den + num} * (c + least(nx - px, ny - py) - 1) >= {needed}").select("a", "b").distinct()
     links = links.unionByName(_links(docs, pairs, size, num, den, False))
 
     parts = components(links)
