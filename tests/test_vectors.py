@@ -104,3 +104,22 @@ def test_kmeans_keeps_k_centroids_of_few_distinct_points(points, limit):
     found = cluster.kmeans_centroids(df, 6, restarts=2, max_iter=5, block_rows=32, limit=limit)
     assert sorted(tuple(r.x) for r in found.collect()) == [(float(i), float(i * i)) for i in range(6)]
     assert cluster.kmeans_centroids(df, 9, restarts=1, max_iter=3, limit=limit).count() == 6
+
+
+def test_lloyd_steps_by_numpy_whichever_way_sums_travel(points, monkeypatch):
+    monkeypatch.setattr(cluster, "SUM_BYTES", 80)  # two buckets a range
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(300, 3)) + 4 * (np.arange(300) % 4)[:, None]
+    starts = [data[r : r + 5].copy() for r in range(2)]
+    rows = points(data).select("x").repartition(4).persist()
+    straight = cluster._collected_steps(rows, [s.copy() for s in starts], 6, 1e-9)
+    shuffled = cluster._collected_steps(rows, [s.copy() for s in starts], 6, 1e-9, limit=0)
+    for start, a, b in zip(starts, straight, shuffled):
+        now = start
+        for _ in range(6):
+            near = ((data[:, None] - now[None]) ** 2).sum(2).argmin(1)
+            now = np.array([data[near == i].mean(0) if (near == i).any() else now[i] for i in range(5)])
+        cost = ((data[:, None] - now[None]) ** 2).sum(2).min(1).sum()
+        assert a[0] == b[0] and (a[1] == b[1]).all()
+        assert a[0] == pytest.approx(cost) and a[1] == pytest.approx(now)
+    rows.unpersist()
