@@ -59,6 +59,22 @@ def test_warc_foreign_files(spark, tmp_path):
             assert {bytes(r.payload) for r in rows} == {b"payload %d" % i * 3000 for i in range(5)} | {b"abcd"}
 
 
+def test_warc_passes_over_what_is_no_record(spark, tmp_path):
+    """Members that hold no record, bytes between members, and HTTP headers over 4096 bytes."""
+    def long_headers(i):
+        block = b"HTTP/1.1 200 OK\r\nX-Long: " + b"x" * 9000 + b"\r\nContent-Length: 3\r\n\r\nabc"
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{i}>\r\nContent-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    records = [long_headers(i) for i in range(4)]
+    noise = [b"", gzip.compress(b"no record\r\n\r\n at all"), b"\0" * 50, gzip.compress(b"short")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(n + gzip.compress(x) for n, x in zip(noise, records)))
+    (tmp_path / "b.warc").write_bytes(b"".join(records))
+    for payload in (True, False):
+        rows = warc.read(spark, f"file://{tmp_path}", payload=payload).collect()
+        assert sorted((r.file.rsplit("/")[-1], r.record_id, r.payload_bytes) for r in rows) == [(f, f"urn:{i}", 3) for f in ("a.warc.gz", "b.warc") for i in range(4)]
+
+
 def test_language(spark):
     en, fr = "the house and the garden are in the sun with all of them ", "la maison et le jardin sont dans le soleil avec tous les autres "
     labelled = spark.createDataFrame([(en * 5, "en"), (fr * 5, "fr"), ("x", None), (None, "en")], "text string, lang string")

@@ -169,7 +169,11 @@ class WarcReader(DataSourceReader):
         size, payload = None, None
         if (values["content_type"] or "").startswith("application/http"):
             keep = self.payload and values["record_type"] == "response"
-            raw = block(None if keep else HEAD_BYTES)
+            least = HEAD_BYTES
+            raw = block(None if keep else least)
+            while headers(raw) is None and not keep and len(raw) >= least:
+                least *= 2
+                raw = block(least)
             http = headers(raw)
             if http:
                 size = http[0].get("content-length")
@@ -207,7 +211,8 @@ class WarcReader(DataSourceReader):
             f.seek(at)
             head = f.read(HEAD_BYTES)
             if not head.startswith(MAGIC):
-                return
+                at = self.first(f, at + 1, part.end)  # no member here: go on with the next one that holds a record
+                continue
             size = None
             if head[3] & 4 and head[12:14] == b"sl":
                 size = struct.unpack("<I", head[16:20])[0]
@@ -219,8 +224,9 @@ class WarcReader(DataSourceReader):
                 if not feed:
                     break
                 text += z.decompress(feed, HEAD_BYTES)
-            if headers(text) is None:
-                return
+            if headers(text) is None or not text.startswith(b"WARC/"):
+                at = self.first(f, at + 1, part.end)
+                continue
             fields, start = headers(text)
             length = int(fields.get("content-length", 0))
             state = [text]
