@@ -40,3 +40,14 @@ def test_pages(spark):
     pages = spark.createDataFrame([("a",), ("a",)], "page string")
     assert [r.title for r in joins.existing_pages(items, pages, "title", "page").collect()] == ["a"]
     assert [r.title for r in joins.missing_pages(items, pages, "title", "page").collect()] == ["b"]
+
+
+def test_only_hot_keys_are_copied(spark):
+    """Of a table too large to broadcast, the rows of hot keys alone meet every slice of the facts."""
+    facts = spark.range(6000).withColumn("k", F.when(F.col("id") < 3000, 0).when(F.col("id") < 3100, F.lit(None).cast("long")).otherwise(F.col("id")))
+    table = spark.range(6000).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    hot = joins.hot_keys(facts, ["k"])
+    assert [r.k for r in hot.where("k IS NOT NULL").collect()] == [0]
+    assert joins.salted_copies(table, ["k"], hot, 32).count() == 6000 + 31
+    got = joins.lookup_join(facts, table, ["k"], F.col("id"), "left", 0).select("id", "v")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, facts.join(table, "k", "left").select("id", "v").collect()), key=str)

@@ -1,10 +1,13 @@
 """Joins that hold under skew, and the joins the evaluation loops stand for."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
+HOT_SHARE = 1000
 
 
 def with_field(df, name, kind):
@@ -19,16 +22,34 @@ def small_enough(df, limit=BROADCAST_BYTES):
     return (df.limit(rows).agg(F.sum(width)).first()[0] or 0) <= limit
 
 
+def hot_keys(facts, keys, share=HOT_SHARE):
+    """Keys with more than one in ``share`` of the rows, so fewer than ``share`` of them."""
+    counts = facts.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    total = counts.agg(F.sum("_c")).first()[0] or 0
+    return counts.where(F.col("_c") * share > total).select(*keys, F.lit(True).alias("_hot"))
+
+
+def salted_copies(table, keys, hot, salts):
+    """The rows of a hot key once for each salt, all others once."""
+    last = F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0)).cast("long")
+    marked = table.join(F.broadcast(hot), keys, "left")
+    return marked.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("_hot")
+
+
 def lookup_join(facts, table, keys, spread, how="inner", limit=BROADCAST_BYTES, salts=SALTS):
     """Join many fact rows to one table row per key. A measured small table is broadcast.
-    A large one is salted: copies of it meet the slices of a hot key. ``spread`` is a
-    fact column whose values vary inside a hot key."""
+    Of a large one the rows of hot keys are salted: copies of them meet the slices of the hot key; all other rows move once.
+    ``spread`` is a fact column whose values vary inside a hot key."""
     keys = list(keys)
     if small_enough(table, limit):
         return facts.join(F.broadcast(table), keys, how)
-    sliced = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return sliced.join(copies, keys + ["_salt"], how).drop("_salt")
+    hot = hot_keys(facts, keys)
+    slot = F.pmod(F.xxhash64(spread), F.lit(salts))
+    # Rows with a null key meet nothing; they are spread like those of a hot key.
+    absent = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    sliced = facts.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.when(F.col("_hot") | absent, slot).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    return sliced.join(salted_copies(table, keys, hot, salts), keys + ["_salt"], how).drop("_salt")
 
 
 def attach_predictions(source, predictions, key):
