@@ -29,8 +29,26 @@ ENTRIES_PER_BUCKET = 1_000_000
 WHOLE = np.uint64(0x5851F42D4C957F2D)
 
 
+def _shrunk(batches):
+    """Texts compressed one by one, as (_t binary, _size); a text that compression does not shorten stays as it is."""
+    for batch in batches:
+        packed, size = [], []
+        for text in batch.column("_t").cast(pa.binary()).to_pylist():
+            short = None if text is None else pa.compress(text, codec="zstd", asbytes=True)
+            packed.append(text if text is None or len(short) >= len(text) else short)
+            size.append(None if text is None else len(text))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("_k"), batch.column("chunk"), pa.array(packed, pa.binary()), pa.array(size, pa.int64())], names=["_k", "chunk", "_t", "_size"])
+
+
+def _texts(table):
+    rows = zip(table.column("_t").to_pylist(), table.column("_size").to_pylist())
+    return pa.chunked_array([pa.array(
+        [t if t is None or len(t) == n else pa.decompress(t, n, codec="zstd", asbytes=True) for t, n in rows], pa.binary())])
+
+
 def _words(table):
-    data, offs = flat(table.column("_t"))
+    data, offs = flat(_texts(table))
     data = lowered(data)
     starts, ends = spans(data, offs, SPACE)
     return span_hashes(data, starts, ends), np.searchsorted(starts, offs)
@@ -55,6 +73,28 @@ def _distinct(grams, n):
     return np.unique(every, return_counts=True)
 
 
+def _places(text, grams):
+    """One sort of a chunk's n-grams: how many differ, the place of each among the sorted distinct hashes and how often its text has it,
+    per order; and the place of order 0."""
+    every = np.concatenate([*(g[ok] for g, ok in grams), np.full(min(1, len(text)), WHOLE)])
+    texts = np.concatenate([*(text[ok].astype(np.int32) for _, ok in grams), np.full(min(1, len(text)), -1, np.int32)])
+    order = np.argsort(every, kind="stable")  # of equal ones, those of one text stay together
+    every = every[order]
+    opens = np.ones(len(every), bool)
+    opens[1:] = every[1:] != every[:-1]
+    del every
+    texts = texts[order]
+    mine = opens.copy()
+    mine[1:] |= texts[1:] != texts[:-1]
+    del texts
+    at, own = np.empty(len(order), np.int32), np.empty(len(order), np.int32)
+    at[order] = np.cumsum(opens, dtype=np.int32) - 1
+    run = np.diff(np.append(np.flatnonzero(mine), len(order))).astype(np.int32)
+    own[order] = np.repeat(run, run)
+    cut = np.cumsum([0] + [int(ok.sum()) for _, ok in grams])
+    return [(at[a:b], own[a:b]) for a, b in zip(cut, cut[1:])], at[-1] if len(at) else 0
+
+
 def _split(hashes, buckets):
     """Bounds of the hash ranges of the buckets in a sorted array."""
     edges = [(b << 64) // buckets for b in range(buckets)]
@@ -117,20 +157,18 @@ def _answer(batches):
             pa.array([_zip(back[a:b]) for a, b in zip(cut, cut[1:])], pa.binary())], names=["chunk", "bucket", "n", "totals"])
 
 
-def _scores(words, bounds, order, alpha, total_of):
-    """(sum of log scores, words that backed off, words seen nowhere else) per text."""
+def _scores(words, bounds, order, alpha, totals):
+    """(sum of log scores, words that backed off, words seen nowhere else) per text. ``totals`` has the count of each of the sorted
+    distinct hashes."""
     text, grams = _grams(words, bounds, order)
-    hashes, _ = _distinct(grams, len(words))
-    totals = total_of(hashes)
+    places, whole = _places(text, grams)
     n = len(bounds) - 1
     left = []  # counts elsewhere of the gram that ends at each place, per order
-    for g, ok in grams:
-        at = np.searchsorted(hashes, g[ok])
-        _, inverse, own = np.unique(text[ok] * len(hashes) + at, return_inverse=True, return_counts=True)
+    for (g, ok), (at, own) in zip(grams, places):
         c = np.zeros(len(words), np.int64)
-        c[ok] = totals[at] - own[inverse]
+        c[ok] = totals[at] - own
         left.append(c)
-    size = totals[np.searchsorted(hashes, WHOLE)] if len(words) else 0
+    size = totals[whole] if len(words) else 0
     elsewhere = np.maximum(size - np.diff(bounds), 1)[text].astype(float)
     longest = np.minimum(np.arange(len(words)) - bounds[:-1][text] + 1, order)
     log, done, used = np.zeros(len(words)), np.zeros(len(words), bool), np.zeros(len(words), np.int64)
@@ -153,6 +191,8 @@ def score(df, key="doc_id", text="text", order=2, alpha=0.4):
     chunks = max(1, -(-total // CHUNK_BYTES))
     buckets = max(1, -(-total * order // (8 * ENTRIES_PER_BUCKET)))
     docs = docs.withColumn("chunk", F.pmod(F.xxhash64("_k", "_t"), F.lit(chunks)).cast("int"))
+    kind = dict(docs.dtypes)["_k"]
+    docs = docs.select("_k", "chunk", "_t").mapInArrow(_shrunk, f"_k {kind}, chunk int, _t binary, _size long")
     asked = docs.groupBy("chunk").applyInArrow(_asking(order, buckets), "bucket int, chunk int, n long, hashes binary, counts binary")
     answers = asked.repartitionById(buckets, F.col("bucket")).mapInArrow(_answer, "chunk int, bucket int, n long, totals binary")
 
@@ -160,13 +200,12 @@ def score(df, key="doc_id", text="text", order=2, alpha=0.4):
         words, bounds = _words(left)
         rows = sorted(right.select(["bucket", "n", "totals"]).to_pylist(), key=lambda r: r["bucket"])
         totals = np.concatenate([_unzip(r["totals"], r["n"], np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
-        log, off, unseen = _scores(words, bounds, order, alpha, lambda hashes: totals)
+        log, off, unseen = _scores(words, bounds, order, alpha, totals)
         n = np.diff(bounds)
         mean = pa.array(np.divide(log, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)
         return pa.table({"_k": left.column("_k"), "n_words": pa.array(n), "log_score": pa.array(log), "mean_log_score": mean,
                          "n_backed_off": pa.array(off, pa.int64()), "n_unseen": pa.array(unseen, pa.int64())})
 
-    kind = dict(docs.dtypes)["_k"]
     schema = f"_k {kind}, n_words long, log_score double, mean_log_score double, n_backed_off long, n_unseen long"
     return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, schema).withColumnRenamed("_k", key)
 
