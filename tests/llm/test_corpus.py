@@ -141,6 +141,34 @@ def test_jaccard_small_chunks_and_frequent_shingles(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.classes(df).collect()} == want and near is components.components
 
 
+def test_jaccard_passage_shared_by_chance(spark, monkeypatch):
+    """Texts that share a passage of five words are not brought together as whole sets; those that link are."""
+    words = lambda k: [f"p{k}_{i}" for i in range(5)] + [f"v{k}_{i}" for i in range(100)] + [f"p{k + 1}_{i}" for i in range(5)]
+    rows = [(k, " ".join(words(k))) for k in range(60)]
+    rows.append((60, rows[3][1] + " zz"))
+    sent, links = [], jaccard._links
+
+    def counted(docs, pairs, *rest):
+        pairs = pairs.persist()
+        sent.append({tuple(r) for r in pairs.collect()})
+        return links(docs, pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_links", counted)
+    monkeypatch.setattr(jaccard, "MINIMA", 0)
+    got = {r.doc_id: r.component_id for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{k: k for k in range(60)}, 60: 3}
+    assert sent[-1] == {(3, 60)}
+
+
+def test_jaccard_marks_lose_no_link(spark):
+    """Rows of one id with different texts: a pair stays if any of them may link; long texts have marks that repeat."""
+    long = [f"w{i}" for i in range(90_000)]
+    rows = [(1, " ".join(long)), (1, "a b c d e f g"), (2, " ".join(long[:-9000])), (3, "a b c d e f g h"), (4, ""), (5, " ".join(long[:30_000])), (6, None)]
+    docs = spark.createDataFrame(rows, "_k long, _t string").repartition(3)
+    pairs = spark.createDataFrame([(1, b) for b in range(2, 7)], "a long, b long")
+    assert {tuple(r) for r in jaccard._possible(docs, pairs, 5, 75, 100).collect()} == {(1, 2), (1, 3)}
+
+
 def test_jaccard_star_of_copies(spark, monkeypatch):
     """Copies that link with their original, whose id is the largest, and not with each other."""
     rng = random.Random(7)

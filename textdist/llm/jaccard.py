@@ -3,7 +3,7 @@
 Every text is the set of its distinct word shingles, in one global order: frequent shingles last, else by hash. Two
 sets that link at threshold t share one of their first n - ceil(t n) + 1 shingles, so these heads alone are
 dealt by shingle. A pair is kept only if the overlap of its heads and what remains of the longer rest can still reach the overlap
-a link needs. Sets of kept pairs meet in groups around the pair's smaller id and are joined there by a
+a link needs, and then only if 16 bits of every shingle of both overlap enough. Sets of kept pairs meet in groups around the pair's smaller id and are joined there by a
 trie: sets that start alike share nodes and their partial overlaps, and a subtree is left as soon as its overlap
 so far and the remaining lengths cannot reach a link.
 
@@ -33,9 +33,11 @@ from textdist.session import cut_lineage
 LEAST_FREQUENT, MOST_FREQUENT = 16, 2_000_000
 MINIMA = 3
 HUBS = 2
+#: bytes of text whose sets are worked out at once
+SMALL = 1 << 20
 CHUNK = 512
 HEADS_PER_BUCKET = 400_000
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS, BROADCAST_PAIRS = 1_000_000, 500_000
 SALTS = mix(np.arange(1, MINIMA + 3))
 
 
@@ -46,12 +48,29 @@ def _needed(n, num, den):
 
 def _sets(part, size):
     """Shingle sets of a slice, worked out in smaller slices."""
-    return [s for small in slices(part, "_t", 1 << 20) for s in shingle_sets(*flat(small.column("_t")), size)]
+    return [s for small in slices(part, "_t", SMALL) for s in shingle_sets(*flat(small.column("_t")), size)]
 
 
-def _signature(s):
-    with np.errstate(over="ignore"):
-        return [int(np.add.reduce(mix(s ^ SALTS[-2])).astype(np.int64)), int(np.add.reduce(mix(s ^ SALTS[-1])).astype(np.int64))]
+def _reduced(sets, salts, by):
+    """``by`` over the salted shingles of each set, a list per salt; 0 for an empty set."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    full = np.flatnonzero(sizes)
+    out = np.zeros((len(salts), len(sets)), np.int64)
+    if len(full):
+        every, first = np.concatenate(sets), (np.cumsum(sizes) - sizes)[full]
+        for row, salt in zip(out, salts):
+            row[full] = by.reduceat(mix(every ^ salt), first).view(np.int64)
+    return out.tolist()
+
+
+def _signed(part, size):
+    """Shingle sets of a slice and their signatures, worked out in smaller slices."""
+    sets, signs = [], []
+    for small in slices(part, "_t", SMALL):
+        made = shingle_sets(*flat(small.column("_t")), size)
+        sets += made
+        signs += zip(*_reduced(made, SALTS[-2:], np.add))
+    return sets, signs
 
 
 def _described(docs, size):
@@ -60,16 +79,34 @@ def _described(docs, size):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "_t"):
+            for part in slices(batch, "_t", SMALL):
                 sets = _sets(part, size)
-                signs = [_signature(s) for s in sets]
-                minima = [[int(mix(s ^ SALTS[k]).min().astype(np.int64)) for k in range(MINIMA)] if len(s) else None for s in sets]
-                made = [[len(s) for s in sets], [x for x, _ in signs], [y for _, y in signs]]
+                least = _reduced(sets, SALTS[:MINIMA], np.minimum)
+                minima = [[x[i] for x in least] if len(s) else None for i, s in enumerate(sets)]
+                made = [[len(s) for s in sets], *_reduced(sets, SALTS[-2:], np.add)]
                 yield pa.RecordBatch.from_arrays([part.column("_k"), *(pa.array(x, pa.int64()) for x in made), pa.array(minima, pa.list_(pa.int64()))], names=names)
 
     return docs.mapInArrow(run, "doc long, n long, s1 long, s2 long, minima array<long>")
 
 
+def _zip(x):
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unzip(x, n, kind):
+    return np.frombuffer(pa.decompress(x, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+
+
+def _steps(x):
+    """Numbers in order, packed as steps by byte planes: the high ones are nearly all zero."""
+    return _zip(np.diff(x, prepend=x[:1] * 0).view(np.uint8).reshape(-1, x.itemsize).T)
+
+
+def _of_steps(x, n, kind):
+    planes = _unzip(x, n * np.dtype(kind).itemsize, np.uint8).reshape(-1, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
+
+
 def _frequent(docs, size, parts):
     """Rows (prefix, df): leading 32 bits of shingles that ``LEAST_FREQUENT`` or more texts share.
 
@@ -81,24 +118,25 @@ def _frequent(docs, size, parts):
         for batch in batches:
             for part in slices(batch, "_t", 8 << 20):
                 low = []
-                for s in _sets(part, size):
-                    sign = tuple(_signature(s))
+                for s, sign in zip(*_signed(part, size)):
                     if len(s) and sign not in seen:
                         seen.add(sign)
                         low.append((s >> np.uint64(32)).astype(np.uint32))
                 low = np.sort(np.concatenate(low)) if low else np.zeros(0, np.uint32)
                 cut = np.searchsorted(low, np.minimum(np.arange(parts + 1) * width, (1 << 32) - 1))
                 some = [i for i in range(parts) if cut[i + 1] > cut[i]]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([low[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], names=["part", "prefixes"])
+                held = [low[cut[i] : cut[i + 1]] for i in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([len(x) for x in held], pa.int64()), pa.array([_steps(x) for x in held], pa.binary())],
+                                                 names=["part", "n", "prefixes"])
 
     def count(batches):
-        held = [np.frombuffer(x, np.uint32) for batch in batches for x in batch.column("prefixes").to_pylist()]
+        held = [_of_steps(x, n, np.uint32) for batch in batches for x, n in zip(batch.column("prefixes").to_pylist(), batch.column("n").to_pylist())]
         if held:
             prefix, df = np.unique(np.concatenate(held), return_counts=True)
             often = df >= LEAST_FREQUENT
             yield pa.RecordBatch.from_arrays([pa.array(prefix[often].astype(np.int64)), pa.array(df[often].astype(np.int64))], names=["prefix", "df"])
 
-    return docs.mapInArrow(run, "part int, prefixes binary").repartitionById(parts, F.col("part")).mapInArrow(count, "prefix long, df long")
+    return docs.mapInArrow(run, "part int, n long, prefixes binary").repartitionById(parts, F.col("part")).mapInArrow(count, "prefix long, df long")
 
 
 def _most_frequent(rows):
@@ -114,14 +152,6 @@ def _most_frequent(rows):
     return np.sort(rows.where(F.col("df") >= least).select("prefix").toPandas()["prefix"].to_numpy(np.uint32))
 
 
-def _zip(x):
-    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unzip(x, n, kind):
-    return np.frombuffer(pa.decompress(x, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
-
-
 def _heads(docs, frequent, buckets, size, num, den):
     """Heads of all sets, dealt by shingle: rows (bucket, tokens, docs, sizes, places), one per slice and bucket; a place is
     a shingle's position in its ordered set.
@@ -134,11 +164,11 @@ def _heads(docs, frequent, buckets, size, num, den):
         for batch in batches:
             for part in slices(batch, "_t", 8 << 20):
                 ids, seen, tokens, own, ns, places = part.column("_k").to_pylist(), set(), [], [], [], []
-                for k, s in sorted(((k, s) for k, s in zip(ids, _sets(part, size)) if k is not None), key=lambda x: x[0]):
+                for k, s, sign in sorted(((k, s, x) for k, s, x in zip(ids, *_signed(part, size)) if k is not None), key=lambda x: x[0]):
                     n = len(s)
-                    if not n or (sig := tuple(_signature(s))) in seen:
+                    if not n or sign in seen:
                         continue
-                    seen.add(sig)
+                    seen.add(sign)
                     if len(often):
                         prefix = (s >> np.uint64(32)).astype(np.uint32)
                         hot = often[np.minimum(np.searchsorted(often, prefix), len(often) - 1)] == prefix
@@ -306,10 +336,9 @@ def joined(ids, seqs, num, den, queries=None):
     return links
 
 
-def _links(docs, pairs, size, num, den, among):
-    """Links found around the first ids of ``pairs`` (a, b), a < b: those of all pairs, or links that connect as much. With ``among``,
-    links between the other sets of a chunk are looked for too."""
-    pairs = cut_lineage(pairs)
+def _sent(docs, pairs, size, form):
+    """Sets of ``pairs`` (a, b) brought together, groups of rows (a, chunk, doc, n, tokens): a's set and at most about ``CHUNK`` others.
+    ``form`` gives the bytes a set moves as."""
     ids = pairs.select(F.col("a").alias("_i")).union(pairs.select("b")).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     some = docs.join(F.broadcast(ids) if few else ids, F.col("_k") == F.col("_i"), "left_semi")
@@ -317,14 +346,48 @@ def _links(docs, pairs, size, num, den, among):
     def sets(batches):
         for batch in batches:
             for part in slices(batch, "_t"):
-                made = [s.tobytes() for s in _sets(part, size)]
-                yield pa.RecordBatch.from_arrays([part.column("_k"), pa.array(made, pa.binary())], names=["doc", "tokens"])
+                made = _sets(part, size)
+                yield pa.RecordBatch.from_arrays([part.column("_k"), pa.array([len(s) for s in made], pa.int64()), pa.array([form(s) for s in made], pa.binary())],
+                                                 names=["doc", "n", "tokens"])
 
-    some = some.mapInArrow(sets, "doc long, tokens binary")
+    some = some.mapInArrow(sets, "doc long, n long, tokens binary")
     chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     routes = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.col("b").alias("doc"))
     routes = routes.unionByName(chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("doc")))
-    sent = some.join(routes, "doc").select("a", "chunk", "doc", "tokens")
+    # sets are not moved to meet few routes
+    routes = F.broadcast(routes) if pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS else routes
+    return some.join(routes, "doc").select("a", "chunk", "doc", "n", "tokens").groupBy("a", "chunk")
+
+
+def _marks(s):
+    """16 bits of each shingle of a set."""
+    return _steps(np.sort(s.astype(np.uint16)))
+
+
+def _possible(docs, pairs, size, num, den):
+    """The ``pairs`` whose marks overlap enough for a link. Equal shingles have equal marks, so with repeats counted marks overlap no less
+    than the sets, and no pair that links is lost; they move in about a byte for each shingle, where a set takes eight."""
+    pairs = cut_lineage(pairs)
+
+    def meet(table):
+        lead, found = table.column("a")[0].as_py(), set()
+        rows = [(d, n, _of_steps(x, n, np.uint16).astype(np.int64)) for d, n, x in zip(*(table.column(c).to_pylist() for c in ("doc", "n", "tokens"))) if n]
+        around = [(n, np.bincount(marks, minlength=1 << 16)) for d, n, marks in rows if d == lead]
+        for d, m, marks in rows:
+            if d != lead:
+                first = np.flatnonzero(np.diff(marks, prepend=-1))
+                at, times = marks[first], np.diff(first, append=m)
+                if any((den + num) * int(np.minimum(held[at], times).sum()) >= num * (n + m) for n, held in around):
+                    found.add(d)
+        return pa.table({"a": pa.array([lead] * len(found), pa.int64()), "b": pa.array(sorted(found), pa.int64())})
+
+    return _sent(docs, pairs, size, _marks).applyInArrow(meet, "a long, b long")
+
+
+def _links(docs, pairs, size, num, den, among):
+    """Links found around the first ids of ``pairs`` (a, b), a < b: those of all pairs, or links that connect as much. With ``among``,
+    links between the other sets of a chunk are looked for too."""
+    pairs = cut_lineage(pairs)
 
     def join(table):
         ids, tokens = table.column("doc").to_pylist(), table.column("tokens").to_pylist()
@@ -333,7 +396,7 @@ def _links(docs, pairs, size, num, den, among):
         links = joined(list(once), list(once.values()), num, den, None if among else [i for i, k in enumerate(once) if k == lead])
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
-    return sent.groupBy("a", "chunk").applyInArrow(join, "a long, b long")
+    return _sent(docs, pairs, size, lambda s: s.tobytes()).applyInArrow(join, "a long, b long")
 
 
 def classes(df, key="doc_id", text="text", size=5, num=75, den=100):
@@ -382,7 +445,7 @@ def classes(df, key="doc_id", text="text", size=5, num=75, den=100):
     met = met.groupBy(F.col("docx").alias("a"), F.col("docy").alias("b"), "nx", "ny").agg(
         F.count_distinct("token").alias("c"), F.max("px").alias("px"), F.max("py").alias("py"))
     pairs = met.where(f"{den + num} * (c + least(nx - px, ny - py) - 1) >= {needed}").select("a", "b").distinct()
-    links = links.unionByName(_links(docs, pairs, size, num, den, False))
+    links = links.unionByName(_links(docs, _possible(docs, pairs, size, num, den), size, num, den, False))
 
     parts = components(links)
     found = reps.join(parts.withColumnRenamed("v", "rep"), "rep", "left").select("s1", "s2", "n", "rep", F.coalesce("c", "rep").alias("component"))

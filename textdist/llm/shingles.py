@@ -49,7 +49,10 @@ def shingle_sets(data, offs, size=5):
     out = []
     for a, b in zip(bounds, bounds[1:]):
         if b - a >= size:
-            out.append(np.unique(grams[a : b - size + 1]))
+            s = np.sort(grams[a : b - size + 1])
+            fresh = np.ones(len(s), bool)
+            np.not_equal(s[1:], s[:-1], out=fresh[1:])
+            out.append(s[fresh])
         elif b > a:
             out.append(mix(gram_hashes(words[a:b], b - a) ^ np.uint64(b - a)))
         else:
