@@ -328,3 +328,13 @@ def test_backoff_query_of_order_3(spark, tmp_path):
 
 def test_backoff_empty(nothing):
     assert backoff.score(nothing).count() == 0
+
+
+def test_least_of_ranges_of_every_length():
+    """Minima against plain ranges: within a block, over its edge, and over many blocks."""
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 255, 1000).astype(np.uint8)
+    lo = np.r_[rng.integers(0, 1000, 3000), np.arange(0, 930)]
+    hi = np.r_[np.minimum(lo[:3000] + rng.integers(0, 400, 3000), 999), np.arange(0, 930) + bwt.BLOCK - 1]
+    hi = np.r_[hi[:3000], np.minimum(hi[3000:], 999)]
+    assert bwt.Minima(values).of(lo, hi).tolist() == [int(values[a : b + 1].min()) for a, b in zip(lo, hi)]

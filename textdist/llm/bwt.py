@@ -15,6 +15,8 @@ import numpy as np
 
 SHIFT, TAIL = np.uint64(31), np.uint64((1 << 31) - 1)
 BLOCK = 64
+#: row i covers what lies more than i places behind the first of a block
+BEYOND = np.where(np.arange(BLOCK) > np.arange(BLOCK)[:, None], 255, 0).astype(np.uint8)
 
 
 class Minima:
@@ -38,7 +40,11 @@ class Minima:
         out[near] = self.values[lo[near]]
         far = np.flatnonzero(~near)
         rows = self.rows[lo[far]]
-        rows[np.arange(BLOCK) > (hi - lo)[far, None]] = 255
+        rows |= BEYOND[(hi - lo)[far]]
+        half = BLOCK // 2
+        while half >= 8:  # whole rows at once; the last few by numpy's reduction
+            rows = np.minimum(rows[:, :half], rows[:, half:])
+            half //= 2
         out[far] = rows.min(1)
         return out
 
@@ -97,10 +103,10 @@ def build(symbols, ends, lengths, cap, width=1):
         i = i[keys[at[i]] >> SHIFT == first[i]]
         common[at[i]] = np.minimum(least.of(tail[i] + 1, (keys[at[i]] & TAIL).astype(np.int64)), cap - 1) + 1
         # rewrite the list
-        shift = np.cumsum(np.bincount(at, minlength=n + 1)[:n]).astype(np.uint64)
+        shift = np.cumsum(np.bincount(at, minlength=n + 1)[:n], dtype=np.uint32)
         key += shift[tail]
         keys += shift[(keys & TAIL).view(np.int64)]
-        place += shift[place].view(np.int64)
+        place += shift[place]
         new_place = at + np.arange(k)
         place[turn] = new_place
         stays = np.ones(n + k, bool)
