@@ -78,3 +78,43 @@ def test_rows_of_one_id_keep_the_same_text(spark):
         assert len(rows) == 1
         kept.add(rows[0].text)
     assert len(kept) == 1
+
+
+def test_task_gives_back_memory(spark):
+    """A worker that worked on texts of several MB holds hardly more after the task than before."""
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    from textdist.llm import bpe
+    from textdist.llm.queries import vocabulary
+
+    class Rows:
+        dtypes = [("doc_id", "bigint")]
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def withColumnRenamed(self, old, new):
+            return self
+
+    def held():
+        found = re.search(r"\nPss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read())
+        return int(found.group(1)) / 1024
+
+    def batches(seed, rows):
+        words = np.random.default_rng(seed).integers(0, 1 << 40, (rows, 250))
+        texts = [" ".join(f"{w:x}" for w in row) for row in words.tolist()]
+        yield pa.record_batch([pa.array(range(rows), pa.int64()), pa.array(texts)], ["_k", "_t"])
+
+    plan = Rows()
+    bpe.round_trip(plan, vocabulary("byte_bpe_multi_50k.tiktoken"))
+    list(plan.run(batches(1, 10)))
+    before = held()
+    assert sum(b.num_rows for b in plan.run(batches(2, 3000))) == 3000
+    assert held() - before < 40

@@ -23,10 +23,12 @@ import pyarrow as pa
 
 from pyspark.sql import functions as F
 
-from textdist.llm.bytesbatch import flat, slices
+from textdist.llm.bytesbatch import flat, slices, tidy
 from textdist.llm.quality import ragged
 
 CACHE_PIECES = 400_000
+#: bytes of text worked at once; arrays over them take several times as much
+TEXT_BYTES = 1 << 20
 BLOCK = 256
 
 # Code point classes. White space is the 25 code points of the Unicode property (fixed values).
@@ -241,7 +243,7 @@ def merged_long(piece, ranks):
 
 @functools.lru_cache(2)
 def codec_of(path):
-    """One per worker and vocabulary: later tasks find the pieces merged before."""
+    """One per worker and vocabulary, read once; a task forgets the pieces it merged."""
     return Codec(path)
 
 
@@ -325,12 +327,13 @@ def encode(df, path, key="doc_id", text="text"):
     def run(batches):
         codec = codec_of(path)
         for batch in batches:
-            for part in slices(batch, "_t"):
+            for part in slices(batch, "_t", TEXT_BYTES):
                 ids, bounds = codec.encode(*flat(part.column("_t")))
                 lists = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (ids, codec.offsets(ids, bounds))]
                 yield pa.RecordBatch.from_arrays([part.column("_k"), *lists], names=["_k", "ids", "offsets"])
+        codec.forget()
 
-    return rows.mapInArrow(run, f"_k {_typed(df, key)}, ids array<int>, offsets array<int>").withColumnRenamed("_k", key)
+    return rows.mapInArrow(tidy(run), f"_k {_typed(df, key)}, ids array<int>, offsets array<int>").withColumnRenamed("_k", key)
 
 
 def decode(df, path, key="doc_id", ids="ids"):
@@ -346,7 +349,7 @@ def decode(df, path, key="doc_id", ids="ids"):
             out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(body))])
             yield pa.RecordBatch.from_arrays([batch.column("_k"), out.cast(pa.binary())], names=["_k", "bytes"])
 
-    return rows.mapInArrow(run, f"_k {_typed(df, key)}, bytes binary").withColumnRenamed("_k", key)
+    return rows.mapInArrow(tidy(run), f"_k {_typed(df, key)}, bytes binary").withColumnRenamed("_k", key)
 
 
 def round_trip(df, path, key="doc_id", text="text"):
@@ -357,7 +360,7 @@ def round_trip(df, path, key="doc_id", text="text"):
     def run(batches):
         codec = codec_of(path)
         for batch in batches:
-            for part in slices(batch, "_t"):
+            for part in slices(batch, "_t", TEXT_BYTES):
                 ids, bounds = codec.encode(*flat(part.column("_t")))
                 body, offs = codec.decode(ids, bounds)
                 raw = memoryview(np.ascontiguousarray(ids.astype("<u4")))
@@ -365,5 +368,6 @@ def round_trip(df, path, key="doc_id", text="text"):
                 own = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 back = [hashlib.sha256(body[a:b]).hexdigest() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([part.column("_k"), pa.array(np.diff(bounds)), pa.array(own), pa.array(back)], names=["_k", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.forget()
 
-    return rows.mapInArrow(run, f"_k {_typed(df, key)}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("_k", key)
+    return rows.mapInArrow(tidy(run), f"_k {_typed(df, key)}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("_k", key)

@@ -4,6 +4,8 @@ Operators work on slices of a batch of bounded size: a slice ends when its texts
 ``limit`` bytes, so only a single text can make it larger.
 """
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -51,6 +53,25 @@ def slices(batch, column, limit=SLICE_BYTES):
             yield batch.slice(a, b - a)
 
 
+def give_back():
+    """Free memory of this process returned to the system, where the C library can (glibc)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """A task on Arrow batches that gives back its memory when it ends: its worker serves later tasks and stages too,
+    and what it holds in reserve adds to theirs."""
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def spans(data, offs, gap):
     """Starts and ends of the runs of bytes outside ``gap`` (a table of 256), cut at text ends."""
     if not len(data):

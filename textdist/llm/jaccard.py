@@ -24,7 +24,7 @@ import pyarrow as pa
 
 from pyspark.sql import functions as F
 
-from textdist.llm.bytesbatch import flat, mix, slices
+from textdist.llm.bytesbatch import flat, mix, slices, tidy
 from textdist.llm.components import components
 from textdist.llm.shingles import shingle_sets
 from textdist.session import cut_lineage
@@ -86,7 +86,7 @@ def _described(docs, size):
                 made = [[len(s) for s in sets], *_reduced(sets, SALTS[-2:], np.add)]
                 yield pa.RecordBatch.from_arrays([part.column("_k"), *(pa.array(x, pa.int64()) for x in made), pa.array(minima, pa.list_(pa.int64()))], names=names)
 
-    return docs.mapInArrow(run, "doc long, n long, s1 long, s2 long, minima array<long>")
+    return docs.mapInArrow(tidy(run), "doc long, n long, s1 long, s2 long, minima array<long>")
 
 
 def _zip(x):
@@ -136,7 +136,7 @@ def _frequent(docs, size, parts):
             often = df >= LEAST_FREQUENT
             yield pa.RecordBatch.from_arrays([pa.array(prefix[often].astype(np.int64)), pa.array(df[often].astype(np.int64))], names=["prefix", "df"])
 
-    return docs.mapInArrow(run, "part int, n long, prefixes binary").repartitionById(parts, F.col("part")).mapInArrow(count, "prefix long, df long")
+    return docs.mapInArrow(tidy(run), "part int, n long, prefixes binary").repartitionById(parts, F.col("part")).mapInArrow(tidy(count), "prefix long, df long")
 
 
 def _most_frequent(rows):
@@ -189,7 +189,7 @@ def _heads(docs, frequent, buckets, size, num, den):
                 cols = [[tokens[i].tobytes() for i in at], [_zip(np.diff(own[i], prepend=0)) for i in at], [_zip(ns[i]) for i in at], [_zip(places[i]) for i in at]]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["bucket", "tokens", "docs", "sizes", "places"])
 
-    return docs.mapInArrow(run, "bucket int, tokens binary, docs binary, sizes binary, places binary")
+    return docs.mapInArrow(tidy(run), "bucket int, tokens binary, docs binary, sizes binary, places binary")
 
 
 def _shared_heads(batches):
@@ -350,7 +350,7 @@ def _sent(docs, pairs, size, form):
                 yield pa.RecordBatch.from_arrays([part.column("_k"), pa.array([len(s) for s in made], pa.int64()), pa.array([form(s) for s in made], pa.binary())],
                                                  names=["doc", "n", "tokens"])
 
-    some = some.mapInArrow(sets, "doc long, n long, tokens binary")
+    some = some.mapInArrow(tidy(sets), "doc long, n long, tokens binary")
     chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
     routes = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.col("b").alias("doc"))
     routes = routes.unionByName(chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("doc")))
@@ -432,7 +432,7 @@ def classes(df, key="doc_id", text="text", size=5, num=75, den=100):
     # everything else: pairs between components that share a head and can still reach a link
     buckets = max(8, -(-total * (den - num) // den // HEADS_PER_BUCKET))
     heads = _heads(docs, frequent, buckets, size, num, den).repartitionById(buckets, F.col("bucket"))
-    heads = heads.mapInArrow(_shared_heads, "token long, doc long, n long, p long")
+    heads = heads.mapInArrow(tidy(_shared_heads), "token long, doc long, n long, p long")
     heads = heads.join(reps.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").join(parts.withColumnRenamed("v", "doc"), "doc", "left")
     heads = cut_lineage(heads.select("token", "doc", "n", "p", F.coalesce("c", "doc").alias("c")))
     mixed = heads.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")

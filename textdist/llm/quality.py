@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textdist.session import cut_lineage
-from textdist.llm.bytesbatch import SPACE, flat, mix, packed, slices, spans, sums
+from textdist.llm.bytesbatch import SPACE, flat, mix, packed, slices, spans, sums, tidy
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -214,11 +214,8 @@ def measures(df, model, key="doc_id", text="text", lang=None, carry=(), bands: M
                 data, offs = flat(part.column("_t"))
                 made = measure(data, offs, part.column("_l").to_pylist(), pieces, bands, min_words, max_repeat, min_tokens)
                 yield pa.RecordBatch.from_arrays([part.column("_k"), *(part.column(source[h]) for h in held), *map(pa.array, made)], names=names)
-        # a worker serves later stages too: what Arrow holds in reserve goes back
-        del pieces
-        pa.default_memory_pool().release_unused()
 
-    return kept.mapInArrow(run, schema).withColumnRenamed("_k", key)
+    return kept.mapInArrow(tidy(run), schema).withColumnRenamed("_k", key)
 
 
 def lineage(band):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textdist.llm.bwt import repeated_windows
-from textdist.llm.bytesbatch import flat, mix, slices
+from textdist.llm.bytesbatch import flat, mix, slices, tidy
 from textdist.session import cut_lineage
 
 WINDOW = 100
@@ -175,7 +175,7 @@ def _dealt(docs, k, window, buckets):
         if parts:
             yield from rows(flush(parts))
 
-    return docs.mapInArrow(run, "bucket int, anchors binary, bodies binary, docs binary, starts binary, sizes binary, gone long")
+    return docs.mapInArrow(tidy(run), "bucket int, anchors binary, bodies binary, docs binary, starts binary, sizes binary, gone long")
 
 
 def _sorted_out(group):
@@ -277,8 +277,8 @@ def _collections(docs, wanted, window):
                 opens = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)])
                 yield pa.RecordBatch.from_arrays([pa.array(d[opens]), pa.array(p[opens]), pa.array(np.diff(np.r_[opens, len(d)]))], names=["doc", "start", "size"])
 
-    dealt = _with_ranges(docs, wanted, window).mapInArrow(cut, "bucket int, n long, docs binary, starts binary, sizes binary, bytes long, body binary")
-    return dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(sort, "doc long, start long, size long")
+    dealt = _with_ranges(docs, wanted, window).mapInArrow(tidy(cut), "bucket int, n long, docs binary, starts binary, sizes binary, bytes long, body binary")
+    return dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(sort), "doc long, start long, size long")
 
 
 def repeated_ranges(df, key="doc_id", text="text", window=WINDOW, levels=LEVELS, group=GROUP):
@@ -291,7 +291,7 @@ def repeated_ranges(df, key="doc_id", text="text", window=WINDOW, levels=LEVELS,
         buckets = max(8, -(-2 * total // (window - k + 2) // RUNS_PER_BUCKET))
         dealt = _dealt(todo, k, window, buckets).repartitionById(buckets, F.col("bucket"))
         limit = group if i < len(levels) - 1 else 1 << 62
-        out = cut_lineage(dealt.mapInArrow(_sorted_out(limit), "kind byte, doc long, start long, size long, anchor long"))
+        out = cut_lineage(dealt.mapInArrow(tidy(_sorted_out(limit)), "kind byte, doc long, start long, size long, anchor long"))
         found.append(out.where("kind = 0").select("doc", "start", "size"))
         some = out.where("kind = 1")
         if not some.isEmpty():
@@ -349,7 +349,7 @@ def remove(df, key="doc_id", text="text", window=WINDOW, carry=(), as_text=False
                            pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column("_k"), *(part.column(c) for c in held), *columns], names=names)
 
-    out = rows.mapInArrow(run, schema).withColumnRenamed("_k", key)
+    out = rows.mapInArrow(tidy(run), schema).withColumnRenamed("_k", key)
     for i, c in enumerate(carry):
         out = out.withColumnRenamed(f"_c{i}", c)
     return out
