@@ -123,3 +123,38 @@ def test_lloyd_steps_by_numpy_whichever_way_sums_travel(points, monkeypatch):
         assert a[0] == b[0] and (a[1] == b[1]).all()
         assert a[0] == pytest.approx(cost) and a[1] == pytest.approx(now)
     rows.unpersist()
+
+
+def test_nearest_is_exact_whatever_the_scale():
+    rng = np.random.default_rng(11)
+    tight = rng.normal(size=(6, 16))
+    cases = [(rng.normal(size=(400, 20)), rng.normal(size=(70, 20))), (1e-30 * rng.normal(size=(50, 4)), 1e-30 * rng.normal(size=(20, 4))),
+             (1e100 * rng.normal(size=(50, 4)), 1e100 * rng.normal(size=(20, 4))), (1e6 + rng.normal(size=(50, 4)), 1e6 + rng.normal(size=(20, 4))),
+             (rng.integers(0, 3, (300, 3)) * 1.0, rng.integers(0, 3, (40, 3)) * 1.0), (np.ones((9, 3)), np.ones((4, 3))),
+             (np.repeat(tight, 30, 0) + 1e-7 * rng.normal(size=(180, 16)), np.repeat(tight, 20, 0) + 1e-7 * rng.normal(size=(120, 16)))]
+    for x, y in cases:
+        found, dist = cluster._nearest(x, y)
+        every = np.sqrt(np.add.reduce(np.ascontiguousarray(((x[:, None] - y[None]) ** 2).transpose(2, 0, 1)), axis=0))
+        assert (found == every.argmin(1)).all() and dist == pytest.approx(every.min(1), rel=1e-12)
+
+
+def test_rows_of_a_bucket_meet_in_few_even_tasks(points):
+    rng = np.random.default_rng(12)
+    middle = 100 * rng.normal(size=(64, 5))
+    data = np.concatenate([middle[rng.permutation(64 * 30) % 64] + rng.normal(size=(64 * 30, 5)), np.tile(middle[:1], (1000, 1))])
+    dealt = cluster._near_together(points(data).select("x").repartition(6), middle, 8)
+    rows = dealt.select("x", F.spark_partition_id().alias("p")).collect()
+    assert sorted(tuple(r.x) for r in rows) == sorted(map(tuple, data.tolist()))
+    assert np.bincount([r.p for r in rows], minlength=8).max() < 1.3 * len(data) / 8
+    home, _ = cluster._nearest(np.array([r.x for r in rows]), middle)
+    assert len({(h, r.p) for h, r in zip(home.tolist(), rows)}) < 2 * 64
+    dealt.unpersist()
+
+
+def test_restarts_that_fit_by_turns_take_the_same_steps(points, monkeypatch):
+    rng = np.random.default_rng(13)
+    df = points(rng.normal(size=(400, 3)))
+    tables = []
+    monkeypatch.setattr(cluster, "_table_steps", lambda *a: tables.append(a))
+    whole, turns = (cluster.kmeans_centroids(df, 40, restarts=3, max_iter=8, limit=limit).orderBy("bucket").collect() for limit in (1 << 20, 2 * 8 * 40 * 3))
+    assert not tables and whole == turns
