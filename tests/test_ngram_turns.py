@@ -71,3 +71,50 @@ def test_a_turns_shuffle_files_go_when_it_ends(spark, turns, monkeypatch):
     N.ngram_totals(df, "t")
     assert len(seen) == K.TURNS and len(kept) == K.TURNS
     assert max(seen) - before <= 16 * 2  # as many as one turn's tasks, not as four turns'
+
+
+@pytest.mark.parametrize("slices", [1, 5])
+def test_losses_in_turns(spark, turns, slices):
+    """Losses by brute force: groups with nulls, rows of one key, rows without key, copies."""
+    given = texts(50, words=14) + ["a b a", "a b a"]
+    rows = [(i % 3 or None, None if i % 11 == 0 else i // 2, t) for i, t in enumerate(given)] + [(1, 3, None)]
+    df = spark.createDataFrame(rows, "g int, id bigint, t string")
+    per = {}
+    for g, key, t in rows:
+        for n in (1, 2, 3):
+            for gram, c in (grams(t, n) if t is not None else {}).items():
+                per.setdefault((g, n, gram), Counter())[key] += c
+    loss, uniq, total = Counter(), Counter(), Counter()
+    for (g, n, _), held in per.items():
+        uniq[g, n] += 1
+        total[g, n] += sum(held.values())
+        (key, top), *rest = held.most_common()
+        runner = rest[0][1] if rest else 0
+        if key is not None and top > runner:
+            loss[g, key, n] += top - runner
+    found = B.gram_summary(df, "id", "t", [1, 2, 3], ["g"], slices=slices).collect()
+    assert {(r.g, r.id, r.n): r.loss for r in found if r.id is not None} == dict(loss)
+    assert {(r.g, r.n): (r.uniq, r.total) for r in found if r.id is None} == {k: (uniq[k], total[k]) for k in uniq}
+
+
+def test_a_slice_sends_no_owners_and_finds_its_losses_itself(spark, monkeypatch):
+    """What moves is a hash and a count per n-gram of a slice; of losses a row per text and order, however many buckets there are."""
+    monkeypatch.setattr(K, "BUCKET_GRAMS", 64)
+    assert K.SHARED.itemsize == 14 and set(K.SHARED.names) == {"f", "e", "v"}
+    df = spark.createDataFrame(list(enumerate(texts(40))), "id bigint, t string").withColumns({"_group": K.group_hash([]), "_slice": K.F.expr("cast(id % 4 as int)")})
+    size = K.text_bytes(df, "t")
+    assert K.bucket_count(spark, size, [1, 2]) > 8
+    shared = K.Shared(df, "t", {1, 2}, 4, size, K.owned_grams("id", "t", []), K.other_tops)
+    losses = shared.finished(K.losses_of("id", []), "id bigint, n int, loss bigint, uniq bigint, total bigint").collect()
+    named = [(r.id, r.n) for r in losses if r.id is not None]
+    assert len(named) == len(set(named)) and len(losses) - len(named) <= 4 * 2
+
+
+def test_texts_that_change_between_readings_are_told(spark):
+    df = spark.createDataFrame(list(enumerate(texts(8))), "id bigint, t string").withColumns({"_group": K.group_hash([]), "_slice": K.F.lit(0)})
+    shared = K.Shared(df, "t", {1}, 1, 1, K.owned_grams("id", "t", []), K.other_tops)
+    codes = shared.codes()
+    changed = K.Shared(df.where("id < 2"), "t", {1}, 1, 1, shared.held, shared.code)
+    changed.codes = lambda: codes
+    with pytest.raises(Exception, match="the texts changed"):
+        changed.finished(K.losses_of("id", []), "id bigint, n int, loss bigint, uniq bigint, total bigint").collect()
