@@ -118,3 +118,35 @@ def test_texts_that_change_between_readings_are_told(spark):
     changed.codes = lambda: codes
     with pytest.raises(Exception, match="the texts changed"):
         changed.finished(K.losses_of("id", []), "id bigint, n int, loss bigint, uniq bigint, total bigint").collect()
+
+
+def test_frequencies_in_turns(spark, turns):
+    """Texts, copies of texts and groups by brute force."""
+    given = texts(50, words=14) + ["a b a"] * 20 + ["", " ", "é"]
+    rows = [(i % 3 or None, t) for i, t in enumerate(given)] + [(1, None)]
+    df = spark.createDataFrame(rows, "g int, t string").repartition(5)
+    want = Counter()
+    for g, t in rows:
+        for n in (1, 2, 4):
+            for gram, c in (grams(t, n) if t is not None else {}).items():
+                want[g, n, gram] += c
+    got = [((r.g, r.n, r.gram), r.freq) for r in N.ngram_frequencies(df, "t", [1, 2, 4], by=["g"]).collect()]
+    assert len(got) == len(want) and dict(got) == dict(want)
+
+
+def test_texts_of_ngrams_do_not_move_and_leave_in_small_batches(monkeypatch):
+    """A slice names its n-grams itself and a batch at a time, so a worker never holds the texts of all of them."""
+    monkeypatch.setattr(K, "GATHER_ROWS", 100)
+    table = pa.table({"t": [" ".join(f"w{i * 31 + j}" for j in range(50)) for i in range(20)], "_group": [0] * 20, "_copies": [1] * 20})
+    read = K.placed_grams("t", [])(table)
+    back = ((n, f, e, v, v, more) for n, f, e, v, more in read({1, 4}, 0, 1))
+    batches = list(K.named_grams([])(table, back))
+    assert max(b.num_rows for b in batches) <= 100
+    named = Counter(x for b in batches for x in b.column("gram").to_pylist())
+    assert named == Counter(set(g for t in table.column("t").to_pylist() for n in (1, 4) for g in grams(t, n)))
+    assert all(x.dtype.kind in "ui" for n, f, e, v, _ in read({1, 4}, 0, 1) for x in (f, e, v))
+
+
+def test_slices_are_small():
+    """Two workers and a JVM share an executor of 3 GB; a worker takes about 40 bytes per byte of its slice."""
+    assert K.SLICE_BYTES <= 8 << 20
